@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space, and the characters that count as symbols.
-_SPACE = r" \t\n\u000B\f\r"
+_SPACE = r" \t\n\u000B\u000C\r"
 _SYMBOLS = "#*$%&|<>"
 
 #: Ratios that rules may test, over the statistics' columns; all are finite.
