@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunklens.llm.shared import Scratch
+
 #: White space, and the characters that count as symbols.
 _SPACE = r" \t\n\u000B\u000C\r"
 _SYMBOLS = "#*$%&|<>"
@@ -34,7 +36,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     Words of a text with 3-word windows found twice are counted from the sorted window hashes: the low bits of each
     hash give way to its position, neighbours with equal high bits are compared on the whole hash, and the found
-    positions, sorted again, give the covered words.
+    positions, sorted again, give the covered words. Write the result before filtering it: the optimizer would copy
+    these expressions into a filter.
     """
     one = docs.select(
         "doc_id",
@@ -150,14 +153,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, min_
     repeat_percent percent of them in repeated 3-word windows. rule is the first learned rule that holds, 0 if none;
     kept: neither. Rows with null doc_id or quality are not learned from; an empty labels table gives no rules.
     """
-    stats = statistics(docs)
+    stats = Scratch(docs.sparkSession, "quality").keep(statistics(docs), "statistics")
     chosen = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    known = statistics(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).select("doc_id", *(F.expr(e).alias(f) for f, e in FEATURES.items()))
-    rows = known.join(F.broadcast(chosen), "doc_id").select(*FEATURES, F.expr("cast(quality = 0 as int) as low"), F.expr("cast(pmod(xxhash64(doc_id, 7), 3) as int) as fold"))
+    rows = stats.join(F.broadcast(chosen), "doc_id").select(*(F.expr(e).alias(f) for f, e in FEATURES.items()), F.expr("cast(quality = 0 as int) as low"), F.expr("cast(pmod(xxhash64(doc_id, 7), 3) as int) as fold"))
     rules = learn([r.asDict() for r in rows.collect()])
     failed = F.expr(f"n_words < {int(min_words)} or 100 * n_repeat_words > {int(repeat_percent)} * n_words")
     return stats.withColumn("base_failed", failed).withColumn("rule", expression(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
