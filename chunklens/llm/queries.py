@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from chunklens.llm.decontaminate import contamination
 from chunklens.llm.near_dedup import near_duplicates
+from chunklens.llm.pii import personal_data
+from chunklens.llm.quality_classifier import classify
 from chunklens.llm.quality_rules import quality_rules
+from chunklens.llm.secret_scan import secrets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,6 +27,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(_table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -33,7 +44,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_decontaminate": op2_decontaminate, "op6_near_dedup": op6_near_dedup, "op8_quality_rules": op8_quality_rules}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents")).select("doc_id", "quality_score", "keep")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op4_personal_data": op4_personal_data,
+    "op5_secrets": op5_secrets,
+    "op6_near_dedup": op6_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": rf"""
