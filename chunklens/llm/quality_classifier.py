@@ -19,7 +19,9 @@ from chunklens.llm.weak_labels import ABSTAIN, NO, YES, logistic, reliabilities
 
 #: Hashed features.
 WIDTH = 1 << 13
-LABELLERS = 8
+#: A feature is the share of its trigrams in the text, times this.
+SCALE = 64.0
+LABELLERS = 9
 
 
 def _flags(chars: str) -> np.ndarray:
@@ -28,7 +30,10 @@ def _flags(chars: str) -> np.ndarray:
     return out
 
 
-_SYMBOLS, _UPPER, _BAR, _VOWELS = _flags("#*$%&<>"), _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _flags("|"), _flags("!")
+_SYMBOLS, _UPPER, _BAR, _SHOUT = _flags("#*$%&<>"), _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _flags("|"), _flags("!")
+_PLAIN = _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz \n") | (np.arange(256) >= 0x80)
+_MARK = _flags("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_LINE = ~_flags("\n")
 
 
 def _per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -37,40 +42,36 @@ def _per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """rows x LABELLERS of ABSTAIN, NO (low) and YES (good), in order: symbols, capitals, table bars, exclamation,
-    repeated lines, distinct words, length, mean word."""
+    """rows x LABELLERS of ABSTAIN, NO (low) and YES (good), in order: symbols, words that end in two marks, capitals,
+    exclamation, table bars, words that are one mark, distinct words, repeated lines, share of letters and space."""
     starts, ends, limits = spans(data, offsets, SPACE_WORDS)
-    count = np.diff(limits)
-    chars = np.maximum(_per_row((ends - starts), limits), 1)
+    count, length = np.diff(limits), ends - starts
+    words, chars = np.maximum(count, 1), np.maximum(_per_row(length, limits), 1)
     out = np.full((len(count), LABELLERS), ABSTAIN)
-
-    def vote(i: int, no: np.ndarray, yes: np.ndarray) -> None:
-        out[:, i] = np.where(no, NO, np.where(yes, YES, ABSTAIN))
-
-    symbols, capitals, bars, shouts = (_per_row(f[data], offsets) / chars for f in (_SYMBOLS, _UPPER, _BAR, _VOWELS))
-    vote(0, symbols > 0.02, symbols < 0.002)
-    vote(1, capitals > 0.25, capitals < 0.12)
-    vote(2, bars > 0.01, np.zeros(len(count), bool))
-    vote(3, shouts > 0.03, np.zeros(len(count), bool))
+    symbols, capitals, shouts, bars = (_per_row(f[data], offsets) / chars for f in (_SYMBOLS, _UPPER, _SHOUT, _BAR))
+    if len(starts):
+        tail = _MARK[data[ends - 1]]
+        double, single = tail & (length > 1) & _MARK[data[np.maximum(ends - 2, 0)]], tail & (length == 1)
+    else:
+        double = single = np.zeros(0, bool)
     hashes = word_hashes(data, starts, ends, lower=False)
-    lines_s, lines_e, lines_at = spans(data, offsets, data_lines)
-    line = word_hashes(data, lines_s, lines_e, lower=False)
-    distinct = np.array([len(np.unique(hashes[a:b])) for a, b in zip(limits[:-1], limits[1:], strict=True)])
-    unlike = np.array([len(np.unique(line[a:b])) for a, b in zip(lines_at[:-1], lines_at[1:], strict=True)])
-    lines = np.diff(lines_at)
-    vote(4, (lines - unlike) > 0.3 * np.maximum(lines, 1), np.zeros(len(count), bool))
-    share = distinct / np.maximum(count, 1)
-    vote(5, (count >= 30) & (share < 0.25) & (count < 3000), (share > 0.5) | (count < 30))
-    vote(6, count < 4, count >= 40)
-    mean = chars / np.maximum(count, 1)
-    vote(7, (mean > 14) | (mean < 2), (mean > 3) & (mean < 9))
+    s, e, at = spans(data, offsets, _LINE)
+    line = word_hashes(data, s, e, lower=False)
+    distinct = np.array([len(np.unique(hashes[a:b])) for a, b in zip(limits[:-1], limits[1:], strict=True)]) / words
+    unlike = np.array([len(np.unique(line[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)])
+    lines, plain = np.diff(at), _per_row(_PLAIN[data], offsets) / np.maximum(np.diff(offsets), 1)
+    long = count >= 20
+    faults = (symbols > 0.02, _per_row(double, limits) > 0.2 * words, capitals > 0.25, shouts > 0.03, bars > 0.01, _per_row(single, limits) > 0.1 * words)
+    for i, fault in enumerate(faults):
+        out[fault, i] = NO
+    # Fewer of the words are distinct in a longer text anyway: the share is held against its usual fall.
+    usual = np.minimum(1.0, (30 / words) ** 0.25)
+    out[:, 6] = np.where(long & (distinct < 0.62 * usual), NO, np.where(long & (distinct > 0.8 * usual) & (plain > 0.95), YES, ABSTAIN))
+    out[long & (lines - unlike > 0.3 * np.maximum(lines, 1)) & (distinct < 0.62 * usual), 7] = NO
+    out[:, 8] = np.where(long & (plain < 0.88), NO, np.where((plain > 0.95) & (distinct > 0.62 * usual), YES, ABSTAIN))
     return out
 
 
-data_lines = np.ones(256, bool)
-data_lines[0x0A] = False
-
-
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashed trigram at each byte but the last two, and the limits of each row's own."""
     if len(data) < 3:
@@ -123,7 +124,7 @@ def train(docs: DataFrame, sample: int = 4000) -> tuple[np.ndarray, float]:
     codes, counts = codes[order], counts[order]
     if not len(codes):
         return np.zeros(WIDTH), 0.0
-    posterior, _ = reliabilities(codes[:, None] // 3 ** np.arange(LABELLERS) % 3, counts, prior=0.8, belief=0.85)
+    posterior, _ = reliabilities(codes[:, None] // 3 ** np.arange(LABELLERS) % 3, counts, prior=0.8)
     good = dict(zip(codes.tolist(), posterior, strict=True))
     chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     found = _features(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).limit(sample).collect()
@@ -134,7 +135,7 @@ def train(docs: DataFrame, sample: int = 4000) -> tuple[np.ndarray, float]:
     if not len(found):
         return np.zeros(WIDTH), 0.0
     balance = np.where(y > 0.5, 0.5 / max((y > 0.5).mean(), 1e-9), 0.5 / max((y <= 0.5).mean(), 1e-9))
-    return logistic(np.sqrt(x), y, np.minimum(balance, 10.0), l2=1e-5, rounds=200, rate=0.3)
+    return logistic(x * np.float32(SCALE), y, np.minimum(balance, 10.0), l2=1e-5, rounds=200, rate=0.3)
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float] | None = None, cut: float = 0.5) -> DataFrame:
@@ -151,14 +152,8 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float] | None = None, cut
             for lo, hi, data, offsets in blocks(batch.column(at)):
                 grams, _ = _trigrams(data, offsets)
                 first, last = _windows(offsets)
-                score = np.empty(hi - lo)
-                for i, (x, y) in enumerate(zip(first, last, strict=True)):
-                    n = np.bincount(grams[x:y], minlength=WIDTH) if y - x > WIDTH else None
-                    if n is None:
-                        own, n = np.unique(grams[x:y], return_counts=True)
-                        score[i] = w[own] @ np.sqrt(n / max(y - x, 1)) if y > x else 0.0
-                    else:
-                        score[i] = w @ np.sqrt(n / (y - x))
+                total = np.concatenate([[0.0], np.cumsum(w[grams])])
+                score = SCALE * (total[np.minimum(last, len(grams))] - total[np.minimum(first, len(grams))]) / np.maximum(last - first, 1)
                 p = 1 / (1 + np.exp(-np.clip(score + b, -30, 30)))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, "quality_score"])
