@@ -31,7 +31,7 @@ def _flags(chars: str) -> np.ndarray:
 
 
 _SYMBOLS, _UPPER, _BAR, _SHOUT = _flags("#*$%&<>"), _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _flags("|"), _flags("!")
-_PLAIN = _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz \n") | (np.arange(256) >= 0x80)
+_PLAIN = _flags("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz \n") | (np.arange(256) >= 0x80)
 _MARK = _flags("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _LINE = ~_flags("\n")
 
@@ -43,7 +43,7 @@ def _per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """rows x LABELLERS of ABSTAIN, NO (low) and YES (good), in order: symbols, words that end in two marks, capitals,
-    exclamation, table bars, words that are one mark, distinct words, repeated lines, share of letters and space."""
+    exclamation, table bars, words that are one mark, distinct words, repeated lines, share of letters, digits and space."""
     starts, ends, limits = spans(data, offsets, SPACE_WORDS)
     count, length = np.diff(limits), ends - starts
     words, chars = np.maximum(count, 1), np.maximum(_per_row(length, limits), 1)
@@ -68,7 +68,7 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     usual = np.minimum(1.0, (30 / words) ** 0.25)
     out[:, 6] = np.where(long & (distinct < 0.62 * usual), NO, np.where(long & (distinct > 0.8 * usual) & (plain > 0.95), YES, ABSTAIN))
     out[long & (lines - unlike > 0.3 * np.maximum(lines, 1)) & (distinct < 0.62 * usual), 7] = NO
-    out[:, 8] = np.where(long & (plain < 0.88), NO, np.where((plain > 0.95) & (distinct > 0.62 * usual), YES, ABSTAIN))
+    out[:, 8] = np.where(long & (plain < 0.91), NO, np.where((plain > 0.95) & (distinct > 0.62 * usual), YES, ABSTAIN))
     return out
 
 
