@@ -11,7 +11,7 @@ the threshold is confirmed on the full sets, unless it is linked already.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +153,7 @@ def _full_sets(found: DataFrame, k: int) -> DataFrame:
     return found.select("node", "text").mapInArrow(run, "node binary, hashes binary")
 
 
-def _links(threshold: float, percent: int, m: int, margin: float):
+def _links(threshold: float, percent: int, m: int, margin: float, likelihood: bool):
     """The function for one pair of blocks: spanning links (u, v) between nodes whose sets are similar enough."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -188,7 +188,7 @@ def _links(threshold: float, percent: int, m: int, margin: float):
             if not len(js):
                 continue
             less = (reg[js] > reg[i]).sum(1)
-            j = estimate(m - equal - less, less, equal, np.full(len(js), float(size[i])), size[js].astype(float))
+            j = equal / m if not likelihood else estimate(m - equal - less, less, equal, np.full(len(js), float(size[i])), size[js].astype(float))
             found += [(-x, i, y) for x, y in zip(j, js, strict=True) if x >= threshold - margin]
         for _, i, j in sorted(found):
             a, b = root(i), root(j)
@@ -204,6 +204,33 @@ def _links(threshold: float, percent: int, m: int, margin: float):
     return run
 
 
+def linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, m: int, scratch: Scratch, block: int = 128, likelihood: bool = True) -> DataFrame:
+    """(node, root) of the nodes(node, regs, bands, ...) that are linked with others: 100 * intersection >= percent * union.
+
+    sets gives (node, hashes) for a table of nodes that share bands, directly or over others. These coarse groups are
+    cut into blocks of about `block` nodes by hash, and each pair of blocks is a group of its own: no task holds a
+    whole group, and no pairs leave a task but those of a spanning forest.
+    """
+    threshold = percent / 100
+    margin = 3.5 * (threshold * (1 - threshold) / m) ** 0.5
+    members = nodes.select("node", F.explode("bands").alias("band")).repartition("band")
+    least = members.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    coarse = scratch.keep(components(scratch.keep(members.join(least, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "coarse_links"), scratch), "coarse")
+    sizes = scratch.keep(coarse.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+    grouped = scratch.keep(
+        coarse.join(sizes, "root").join(nodes.drop("bands"), "node").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")), "grouped"
+    )
+    payload = scratch.keep(grouped.join(sets(grouped), "node").select("root", "node", "regs", "hashes", "own", "blocks"), "payload")
+    dealt = payload.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"), "node", "regs", "hashes"
+    )
+    links = dealt.groupBy("root", "a", "b").applyInArrow(_links(threshold, percent, m, margin, likelihood), "u binary, v binary")
+    scratch.drop("coarse_links", "sizes", "coarse")
+    out = components(scratch.keep(links.distinct(), "links"), scratch)
+    scratch.drop("grouped", "payload")
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 128, miss: float = 1e-5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs(doc_id, text, ...).
 
@@ -217,32 +244,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     empty table gives an empty result. A pair of sets just at the threshold shares no band with probability `miss` at
     most, and is estimated as more than 3.5 standard errors too low with 0.0003.
 
-    Groups that share bands are cut into blocks of about `block` nodes by hash, and each pair of blocks is a group of
-    its own: no task holds a whole group, and no pairs leave a task but those of a spanning forest.
+    Groups are handled as linked() says, `block` nodes at a time.
     """
     spark, threshold = docs.sparkSession, percent / 100
     bands, rows = banding(threshold, miss)
-    m, margin = bands * rows, 3.5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    scratch = Scratch(spark, "near")
+    m, scratch = bands * rows, Scratch(spark, "near")
     sketches = scratch.keep(sketched(docs, k, bands, rows), "sketches")
     nodes = scratch.keep(
         sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "nodes"
     )
-    members = nodes.select("node", F.explode("bands").alias("band")).repartition("band")
-    least = members.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
-    coarse = scratch.keep(components(scratch.keep(members.join(least, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "coarse_links"), scratch), "coarse")
-    sizes = scratch.keep(coarse.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
-    grouped = scratch.keep(
-        coarse.join(sizes, "root").join(nodes.select("node", "min_id", "regs"), "node").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")), "grouped"
-    )
-    texts = grouped.select(F.col("min_id").alias("doc_id"), "node").join(docs.select("doc_id", "text"), "doc_id")
-    payload = scratch.keep(grouped.join(_full_sets(texts, k), "node").select("root", "node", "regs", "hashes", "own", "blocks"), "payload")
-    dealt = payload.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"), "node", "regs", "hashes"
-    )
-    links = dealt.groupBy("root", "a", "b").applyInArrow(_links(threshold, percent, m, margin), "u binary, v binary")
-    scratch.drop("coarse_links", "sizes", "coarse")
-    found = scratch.keep(components(scratch.keep(links.distinct(), "found"), scratch), "components")
+    found = scratch.keep(linked(nodes, lambda some: _full_sets(some.select(F.col("min_id").alias("doc_id"), "node").join(docs.select("doc_id", "text"), "doc_id"), k), percent, m, scratch, block), "found")
     # A set's class id, for the sets that are linked or that several rows have.
     of_root = found.join(nodes.select("node", "min_id"), "node")
     least_id = scratch.keep(of_root.groupBy("root").agg(F.min("min_id").alias("component_id")), "least_id")
@@ -250,7 +261,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     named = scratch.keep(
         nodes.select("node", "min_id").join(classes, "node", "left").select("node", F.least("component_id", "min_id").alias("component_id")), "named"
     )
-    scratch.drop("grouped", "payload", "found", "components", "least_id", "classes", "nodes")
+    scratch.drop("found", "links", "least_id", "classes", "nodes")
     return sketches.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
         "doc_id",
         "n_shingles",
