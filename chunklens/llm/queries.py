@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 
 from chunklens.llm.decontaminate import contamination
 from chunklens.llm.near_dedup import near_duplicates
+from chunklens.llm.paragraphs import repeated_paragraphs
+from chunklens.llm.pieces import encoded, read_vocabulary
 from chunklens.llm.pii import personal_data
 from chunklens.llm.quality_classifier import classify
 from chunklens.llm.quality_rules import quality_rules
 from chunklens.llm.secret_scan import secrets
+from chunklens.llm.shards import sharded
+from chunklens.llm.shared import Scratch
+from chunklens.llm.toxicity import fit, toxicity
+
+#: The vocabulary that the query and the pipeline encode with; a parameter of the operators.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,12 +29,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard, and a hash of the whole row, of each document, read back from the compacted store."""
+    docs = _table(spark, sf_dir, "documents")
+    store = sharded(docs, f"{Scratch(spark, 'store').path}/documents", target_bytes=64 << 20, fanout=4)
+    return store.read().select("doc_id", "shard", F.xxhash64(*docs.columns).alias("row_hash"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
@@ -39,21 +59,34 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), read_vocabulary(PIECES))
+    return found.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "exact")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents")).select("doc_id", "quality_score", "keep")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shards": op1_shards,
     "op2_decontaminate": op2_decontaminate,
+    "op3_toxicity": op3_toxicity,
     "op4_personal_data": op4_personal_data,
     "op5_secrets": op5_secrets,
     "op6_near_dedup": op6_near_dedup,
+    "op7_paragraphs": op7_paragraphs,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pieces": op9_pieces,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
