@@ -15,6 +15,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: The piece character that stands for a space (a fixed value).
 MARK = "▁"
@@ -151,7 +152,7 @@ def encoded(docs: DataFrame, vocabulary: list[tuple[str, float, str]]) -> DataFr
                 array = pa.ListArray.from_arrays(pa.array(limits), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in ids]))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), array, pa.array(exact)], [*others, "ids", "exact"])
 
-    schema = docs.select(*others).schema.add("ids", "array<int>").add("exact", "boolean")
+    schema = docs.select(*others).schema.add("ids", ArrayType(IntegerType())).add("exact", "boolean")
     return docs.select(*others, "text").mapInArrow(run, schema)
 
 
