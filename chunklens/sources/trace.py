@@ -76,7 +76,8 @@ def host(name: str, dataset: str) -> str:
 
 
 def trace_files(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
-    """(path, name, id, generation, stream) of a data set's trace files; equal ids are one generation, numbered from 0."""
+    """(path, name, id, generation, stream) of a data set's trace files; equal ids are one generation, numbered from 0;
+    files without bytes are left out, ids are decimal."""
     from pyspark.sql import Window
 
     pattern, reverse, _ = data_set(dataset)
