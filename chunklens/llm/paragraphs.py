@@ -113,7 +113,8 @@ def _sets_of(docs: DataFrame, some: DataFrame, k: int, min_words: int) -> DataFr
                     out.append((key, hashes.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["node", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "node binary, hashes binary").join(some.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    # Aggregated before the join: a paragraph that very many texts share comes from each task once.
+    return docs.select("text").mapInArrow(run, "node binary, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")).join(some.select("node"), "node", "left_semi")
 
 
 def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 20, bands: int = 10, rows: int = 3) -> DataFrame:

@@ -33,7 +33,7 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard, and a hash of the whole row, of each document, read back from the compacted store."""
     docs = _table(spark, sf_dir, "documents")
     store = sharded(docs, f"{Scratch(spark, 'store').path}/documents", target_bytes=64 << 20, fanout=4)
-    return store.read().select("doc_id", "shard", F.xxhash64(*docs.columns).alias("row_hash"))
+    return store.read(shard_column="shard").select("doc_id", "shard", F.xxhash64(*docs.columns).alias("row_hash"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

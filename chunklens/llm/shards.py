@@ -107,16 +107,17 @@ class ShardStore:
                     fs, where = file_system(self.spark, f"{self.path}/shards/{folder}/{name}")
                     fs.delete(where, False)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version (the latest if none is given), with the column shard: its file."""
+    def read(self, version: int | None = None, shard_column: str | None = None) -> DataFrame:
+        """The rows of a version (the latest if none is given); shard_column: a column for the row's file."""
         shards = self.manifest(version)
         if not shards:
             raise ValueError("the store is empty")
-        return self._read(shards).withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), "shards/(.*)$", 1))
+        rows = self._read(shards)
+        return rows.withColumn(shard_column, F.regexp_extract(F.col("_metadata.file_path"), "shards/(.*)$", 1)) if shard_column else rows
 
 
 def sharded(docs: DataFrame, path: str, target_bytes: int = 128 << 20, fanout: int = 4, batches: int = 1) -> ShardStore:
-    """A compacted store at path of all rows of docs, whole, with all columns (one named shard is replaced on reading).
+    """A compacted store at path of all rows of docs, whole, with all columns.
 
     docs arrives in `batches` parts, by the hash of doc_id (null ids in the first). Nulls, empty texts, repeated rows
     and extra columns pass unchanged; an empty table gives a store with empty shards.
