@@ -29,7 +29,11 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: 5-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: 5-word shingles, similarity of 0.8 or more. Of rows that are
+    equal in all columns one is taken before; rows of one id with other texts stay or go together."""
+    repeated = Scratch(spark, "repeated").keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "ids")
+    if not repeated.isEmpty():
+        docs = docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates())
     copies = Scratch(spark, "copies").keep(near_duplicates(docs).where("not kept").select("doc_id"), "ids")
     return _without(docs, copies)
 
