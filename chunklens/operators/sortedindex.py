@@ -36,11 +36,12 @@ def page_lookup(probes: DataFrame, pages: DataFrame) -> DataFrame:
     both = probes.select("fp", F.lit(None).cast("bigint").alias("page")).distinct().unionByName(pages.select("fp", "page")).withColumn("range", F.substring("fp", 1, 4))
     heads = pages.groupBy(F.substring("fp", 1, 4).alias("range")).agg(F.min("page").alias("head"))
     ranges = both.select("range").distinct().join(heads, "range", "left")
-    after = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)
-    ranges = ranges.withColumn("next", F.first("head", True).over(after)).select("range", "next")  # 65 536 rows at most
+    # Windows run downwards: a frame to the end of its partition would be taken anew for each row.
+    after = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("next", F.last("head", True).over(after)).select("range", "next")  # 65 536 rows at most
     last = pages.agg(F.max("page").alias("last"))
-    onward = Window.partitionBy("range").orderBy("fp", F.col("page").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("here", F.first("page", True).over(onward))
+    onward = Window.partitionBy("range").orderBy(F.col("fp").desc(), F.col("page").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("here", F.last("page", True).over(onward))
     out = found.where(F.col("page").isNull()).join(F.broadcast(ranges), "range").crossJoin(F.broadcast(last))
     return out.select("fp", F.coalesce("here", "next", "last").alias("page"))
 
@@ -88,9 +89,9 @@ def merge_pages(trace: DataFrame, entries: int) -> DataFrame:
     top = pages.groupBy("g").agg(F.max("fp").alias("top"))
     probes = trace.select(F.col("generation").alias("g"), "fp").distinct().withColumn("range", F.substring("fp", 1, 4))
     both = probes.withColumn("page", F.lit(None).cast("bigint")).unionByName(pages.withColumn("range", F.substring("fp", 1, 4)))
-    here = F.first("page", True).over(Window.partitionBy("g", "range").orderBy("fp", F.col("page").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    here = F.last("page", True).over(Window.partitionBy("g", "range").orderBy(F.col("fp").desc(), F.col("page").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     heads = pages.groupBy("g", F.substring("fp", 1, 4).alias("range")).agg(F.min("page").alias("head"))
-    ranges = both.select("g", "range").distinct().join(heads, ["g", "range"], "left").withColumn("next", F.first("head", True).over(Window.partitionBy("g").orderBy("range").rowsBetween(1, Window.unboundedFollowing)))
+    ranges = both.select("g", "range").distinct().join(heads, ["g", "range"], "left").withColumn("next", F.last("head", True).over(Window.partitionBy("g").orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)))
     found = both.withColumn("here", here).where(F.col("page").isNull()).join(ranges.select("g", "range", "next"), ["g", "range"]).join(F.broadcast(top), "g", "left")
     above = F.col("top").isNotNull() & (F.col("fp") > F.col("top"))
     return found.groupBy(F.col("g").alias("generation")).agg(
