@@ -13,12 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunklens.llm.near_dedup import linked
 from chunklens.llm.shared import Scratch
-from chunklens.llm.textbytes import ALNUM_WORDS, blocks, mix, sequence_hashes, spans, word_hashes
+from chunklens.llm.textbytes import ALNUM_WORDS, blocks, sequence_hashes, spans, word_hashes
 
 _U = np.uint64
 _LINE = np.ones(256, bool)
@@ -62,21 +62,16 @@ def _minima(sets: list[np.ndarray], m: int) -> np.ndarray:
     return out
 
 
-def _sketched(docs: DataFrame, k: int, min_words: int, bands: int, rows: int) -> DataFrame:
+def _sketched(docs: DataFrame, k: int, min_words: int, m: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(1, bands + 1, dtype=_U))
-
         def made(ids: list, some: list) -> pa.RecordBatch:
-            regs = _minima([x[3] for x in some], bands * rows)
-            acc = np.tile(salt, (len(some), 1))
-            for r in range(rows):
-                acc = acc * _U(0xD6E8FEB86659FD93) + regs.reshape(-1, bands, rows)[:, :, r].astype(_U)
+            regs = _minima([x[3] for x in some], m)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[x[0]] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int32()), pa.array([x[2] for x in some], pa.int32()),
-                    pa.array([_key(x[3]) for x in some], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(list(mix(acc).view(np.int64)), pa.list_(pa.int64())),
+                    pa.array([_key(x[3]) for x in some], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()),
                 ],
-                ["doc_id", "line", "words", "node", "regs", "bands"],
+                ["doc_id", "line", "words", "node", "regs"],
             )
 
         for batch in batches:
@@ -89,8 +84,12 @@ def _sketched(docs: DataFrame, k: int, min_words: int, bands: int, rows: int) ->
             if some:
                 yield made(ids, some)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, line int, words int, node binary, regs binary, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, line int, words int, node binary, regs binary")
+
 
+def _bands(bands: int, rows: int) -> Column:
+    """A hash of each band of the registers, which take two bytes each."""
+    return F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, {2 * rows} * i + 1, {2 * rows})))")
 
 
 def _sets_of(docs: DataFrame, some: DataFrame, k: int, min_words: int) -> DataFrame:
@@ -130,11 +129,11 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
     """
     scratch = Scratch(docs.sparkSession, "paragraphs")
     docs = docs.where("doc_id is not null")
-    all_of = scratch.keep(_sketched(docs, k, min_words, bands, rows), "all")
+    all_of = scratch.keep(_sketched(docs, k, min_words, bands * rows), "all")
     nodes = scratch.keep(
-        all_of.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("least"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "nodes"
+        all_of.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("least"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"), F.first("regs").alias("regs")), "nodes"
     )
-    found = scratch.keep(linked(nodes.select("node", "regs", "bands"), lambda some: _sets_of(docs, some, k, min_words), percent, bands * rows, scratch, likelihood=False), "found")
+    found = scratch.keep(linked(nodes.select("node", "regs", _bands(bands, rows).alias("bands")), lambda some: _sets_of(docs, some, k, min_words), percent, bands * rows, scratch, likelihood=False), "found")
     of = scratch.keep(nodes.select("node", "least", "last_doc", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "of")
     # Of one document are the clusters whose least and last document are the same.
     clusters = scratch.keep(
