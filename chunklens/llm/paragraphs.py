@@ -4,6 +4,10 @@ A paragraph is a line of at least `min_words` words (letters, digits and all cha
 its set the distinct 5-word shingles. Equal sets are one node. Nodes that share a band of minima are candidates; links
 are confirmed on the full sets, which a second reading of the texts gives for the candidates alone: it is narrowed by
 a bit set of fixed size that is built from the candidates and broadcast.
+
+A passage that lies within different lines is found over sliding paragraphs: each run of `span` words of a text is one,
+and of each `window` runs in a row the one with the least hash of its first shingle, a MinHash register of what the runs
+cover, stands for all (winnowing). So two texts that share `span + window - 1` words, 50, choose a run in common.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 
 from chunklens.llm.near_dedup import linked
 from chunklens.llm.shared import Scratch
-from chunklens.llm.textbytes import ALNUM_WORDS, blocks, sequence_hashes, spans, word_hashes
+from chunklens.llm.textbytes import ALNUM_WORDS, blocks, mix, sequence_hashes, spans, word_hashes
 
 _U = np.uint64
 _LINE = np.ones(256, bool)
@@ -92,14 +96,19 @@ def _bands(bands: int, rows: int) -> Column:
     return F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, {2 * rows} * i + 1, {2 * rows})))")
 
 
-def _sets_of(docs: DataFrame, some: DataFrame, k: int, min_words: int) -> DataFrame:
-    """(node, hashes) of the nodes of `some`, each once."""
-    bit = F.expr(f"cast(conv(hex(substring(node, 6, 3)), 16, 10) as bigint) % {BITS}")
-    words = some.select(bit.alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("set")).collect()
+def _bit_set(bit: DataFrame) -> np.ndarray:
+    """The set of the numbers below BITS in column bit, 32 to a word."""
+    words = bit.groupBy(F.expr("bit div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("set")).collect()
     bits = np.zeros(BITS // 32, np.uint32)
     for word, value in words:  # BITS / 32 rows at most
         bits[word] = value
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def _sets_of(docs: DataFrame, some: DataFrame, k: int, min_words: int) -> DataFrame:
+    """(node, hashes) of the nodes of `some`, each once."""
+    bit = F.expr(f"cast(conv(hex(substring(node, 6, 3)), 16, 10) as bigint) % {BITS}")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_set(some.select(bit.alias("bit"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -147,3 +156,81 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
         "doc_id", "line", "words", F.col("least.doc_id").alias("cluster_doc"), F.col("least.line").alias("cluster_line"), "n_docs", "n_paragraphs",
         ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("line") == F.col("least.line"))).alias("kept"),
     )
+
+
+def _sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """pick over each n values in a row, by doubling."""
+    own, width = values, 1
+    while 2 * width <= n:
+        own, width = pick(own[:-width], own[width:]), 2 * width
+    return own if width == n else pick(own[: len(values) - n + 1], own[n - width :])
+
+
+def _runs(column, k: int, span: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, line, first word, two hashes of all its words) of the chosen runs of the texts, equal ones of a text once."""
+    for lo, _, data, offsets in blocks(column):
+        starts, ends, limits = spans(data, offsets, ALNUM_WORDS)
+        m = len(starts) - span + 1
+        if m < window:
+            continue
+        words, row = word_hashes(data, starts, ends), np.repeat(np.arange(len(limits) - 1), np.diff(limits))
+        first = np.full(m, _U(k), _U)
+        for j in range(k):
+            first = first * _U(0xD6E8FEB86659FD93) + words[j : m + j]
+        first = mix(first)
+        least = _sliding(first, window, np.minimum)
+        least[row[: len(least)] != row[span + window - 2 :]] = 0
+        edge = np.zeros(window - 1, _U)
+        at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), window, np.maximum) == first)
+        a, b = np.full(len(at), _U(span), _U), np.full(len(at), _U(k), _U)
+        for j in range(span):
+            a, b = a * _U(0xD6E8FEB86659FD93) + words[at + j], b * _U(0x9E3779B97F4A7C15) + words[at + j]
+        a, b = mix(a), mix(b)
+        order = np.lexsort((at, b, a, row[at]))
+        if not len(order):
+            continue
+        key = np.stack([row[at], a.view(np.int64), b.view(np.int64)])[:, order]
+        order = order[np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])]
+        at, own = at[order], row[at[order]]
+        breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
+        yield lo + own, breaks[starts[at]] - breaks[offsets[own]], at - limits[own], a[order].view(np.int64), b[order].view(np.int64)
+
+
+def repeated_passages(docs: DataFrame, k: int = 5, span: int = 25, window: int = 26) -> DataFrame:
+    """(doc_id, line, word, words, cluster_doc, n_docs, kept) of each chosen run of `span` words that repeats, word for
+    word, in another document, docs(doc_id, text, ...); line and word are the numbers of the line and of the word in
+    the text at which its first occurrence in the document begins.
+
+    Words are those of paragraphs, over line ends too. A passage of span + window - 1 words or more that texts share has
+    at least one such run in each; of a shorter one none may be chosen. cluster_doc is the least document, the one in
+    which the run is kept; n_docs counts its rows.
+
+    Null and empty texts, and those of fewer words, have no runs. Rows with a null doc_id are left out. Rows with the
+    same doc_id are one document, but count each in n_docs. Other columns are not read; an empty table gives an empty
+    result.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+
+    def runs(sent=None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row, line, word, a, b in _runs(batch.column(1), k, span, window):
+                    ids = batch.column(0).cast(pa.int64()).take(pa.array(row))
+                    out = pa.RecordBatch.from_arrays([ids, pa.array(line.astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(a), pa.array(b)], ["doc_id", "line", "word", "a", "b"])
+                    if sent is not None:
+                        bit = a & (BITS - 1)
+                        out = out.filter(pa.array((sent.value[bit // 32] >> (bit % 32).astype(np.uint32) & np.uint32(1)).astype(bool)))
+                    yield out
+
+        return run
+
+    schema = "doc_id bigint, line int, word int, a bigint, b bigint"
+    shared = scratch.keep(
+        texts.mapInArrow(runs(), schema).groupBy("a", "b").agg(F.min("doc_id").alias("cluster_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs")).where("cluster_doc <> last_doc").drop("last_doc"),
+        "shared",
+    )
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_set(shared.select(F.expr(f"a & {BITS - 1}").alias("bit"))))
+    return texts.mapInArrow(runs(sent), schema).join(shared, ["a", "b"]).select(
+        "doc_id", "line", "word", F.lit(span).alias("words"), "cluster_doc", "n_docs", (F.col("doc_id") == F.col("cluster_doc")).alias("kept")
+    )

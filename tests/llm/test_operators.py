@@ -12,7 +12,7 @@ from chunklens.llm import pieces, pii, secret_scan, toxicity, weak_labels
 from chunklens.llm.components import components
 from chunklens.llm.decontaminate import build_index, contamination, find_near
 from chunklens.llm.near_dedup import banding, estimate, merge, near_duplicates, registers
-from chunklens.llm.paragraphs import repeated_paragraphs
+from chunklens.llm.paragraphs import repeated_paragraphs, repeated_passages
 from chunklens.llm.quality_classifier import classify
 from chunklens.llm.quality_rules import quality_rules
 from chunklens.llm.shards import Conflict, ShardStore, sharded
@@ -265,6 +265,27 @@ def test_paragraphs(spark, odd):
     assert sorted(r.doc_id for r in repeated_paragraphs(odd).collect()) == [8, 8, 9] and repeated_paragraphs(odd.limit(0)).count() == 0
 
 
+def test_passages(spark, odd):
+    """Of a shared passage of 50 words at least one run is found, wherever it lies; every run found repeats."""
+    pick, rows = random.Random(5), []
+    for i in range(40):
+        passage = prose(1000 + i, 50)
+        for side in range(2):
+            words = [*prose(10_000 + 2 * i + side, pick.randrange(90)).split(), *passage.split(), *prose(20_000 + 2 * i + side, pick.randrange(90)).split()]
+            rows.append((2 * i + side, "".join(w + pick.choice("   \n,") + " " for w in words)))
+    rows += [(100, prose(1)), (101, prose(2, 24)), (102, prose(2, 24)), (103, prose(3, 60) + " " + prose(3, 60))]
+    found = repeated_passages(table(spark, rows)).collect()
+    assert {r.doc_id for r in found} == set(range(80)) and all(r.cluster_doc == r.doc_id // 2 * 2 and r.n_docs == 2 and r.kept == (r.doc_id % 2 == 0) for r in found)
+    text = dict(rows)
+    for r in found:
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text[r.doc_id])
+        run = words[r.word : r.word + r.words]
+        assert len(run) == 25 and " ".join(run) in prose(1000 + r.doc_id // 2, 50)
+        lines = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", x) for x in text[r.doc_id].split("\n")]
+        assert sum(map(len, lines[: r.line])) <= r.word < sum(map(len, lines[: r.line + 1]))
+    assert {r.doc_id for r in repeated_passages(odd).collect()} == {8, 9} and repeated_passages(odd.limit(0)).count() == 0
+
+
 def test_shards(spark, odd, tmp_path):
     store = sharded(odd, f"file://{tmp_path}/s", target_bytes=1 << 20, fanout=4, batches=9)
     rows = store.read()
