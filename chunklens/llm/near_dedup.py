@@ -213,7 +213,8 @@ def linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: in
     """
     threshold = percent / 100
     margin = 3.5 * (threshold * (1 - threshold) / m) ** 0.5
-    members = nodes.select("node", F.explode("bands").alias("band")).repartition("band")
+    # Nulls are left out before, not by the join, so that both uses of the members share one exchange.
+    members = nodes.select("node", F.explode("bands").alias("band")).where("node is not null and band is not null").repartition("band")
     least = members.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
     coarse = scratch.keep(components(scratch.keep(members.join(least, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "coarse_links"), scratch), "coarse")
     sizes = scratch.keep(coarse.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
