@@ -79,6 +79,49 @@ def sorted_index_stats(stream: DataFrame, entries: int) -> DataFrame:
     )
 
 
+def stream_index_stats(trace: DataFrame, entries: int) -> DataFrame:
+    """sorted_index_stats of each stream (generation, stream, fp), run in order of fingerprints on an index of its own.
+
+    Equal chunks are neighbours there, so no window over the rows is needed: all but the first of a generation are
+    consecutive, and so is the first if the generation before ended with it; as pages ascend, a page is missed once in a
+    generation, but not if it is the current one at the start. For the same reason no chunk is found in memory.
+    """
+    counts = trace.groupBy("stream", "fp", "generation").agg(F.count("*").alias("n"))
+    each = counts.groupBy("stream", "fp").agg(F.min("generation").alias("since"), F.map_from_entries(F.collect_list(F.struct("generation", "n"))).alias("counts"))
+    ends = trace.select("generation").distinct()
+    rows = each.join(F.broadcast(ends), F.col("since") <= F.col("generation")).select("generation", "stream", "fp", F.col("since") == F.col("generation"), F.expr("try_element_at(counts, generation)"), F.substring("fp", 1, 2)).toDF("generation", "stream", "fp", "is_new", "n", "range")
+    known = (~F.col("is_new")).cast("int")
+    # Ranks within ranges of a stream's index, plus the sizes of the ranges before (256 at most).
+    place = Window.partitionBy("generation", "stream", "range").orderBy("fp")
+    rows = rows.withColumn("local", F.sum(known).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    sizes = rows.groupBy("generation", "stream", "range").agg(F.sum(known).alias("size"), F.min(F.when(F.col("n").isNotNull(), F.col("fp"))).alias("first_fp"), F.max(F.when(F.col("n").isNotNull(), F.col("fp"))).alias("last_fp"))
+    own = Window.partitionBy("generation", "stream")
+    sizes = sizes.select("generation", "stream", "range", F.coalesce(F.sum("size").over(own.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.min("first_fp").over(own).alias("first_fp"), F.max("last_fp").over(own).alias("last_fp"))
+    steps = Window.partitionBy("stream").orderBy("generation")
+    bounds = sizes.select("generation", "stream", "first_fp", "last_fp").distinct().where("first_fp is not null").withColumn("previous", F.lag("last_fp", 1, "0" * 24).over(steps))
+    bounds = bounds.select("generation", "stream", F.when(F.col("first_fp") == F.col("previous"), F.col("first_fp")).alias("again"))
+
+    def beside(left: DataFrame, right: DataFrame, *names: str) -> DataFrame:
+        """The join by names, of which stream may be null."""
+        right = right.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in right.columns])
+        return left.join(right, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]).drop(*[f"_{c}" for c in names])
+
+    rows = beside(rows.where("n is not null"), sizes.drop("first_fp", "last_fp"), "generation", "stream", "range")
+    rows = beside(rows, bounds, "generation", "stream").withColumn("consec", F.coalesce(F.col("fp") == F.col("again"), F.lit(False)))
+    rows = rows.withColumn("disk", F.when(~F.col("consec") & ~F.col("is_new"), F.floor((F.col("local") + F.col("before")) / entries).cast("bigint")))
+    count = lambda c: F.sum(c.cast("bigint"))
+    pages = rows.groupBy("generation", "stream", "disk").agg(
+        F.sum("n").alias("chunks"), count(F.col("is_new") & ~F.col("consec")).alias("unique_chunks"), F.sum(F.col("n") - F.col("is_new").cast("int")).alias("redundant_chunks"),
+        F.sum(F.col("n") - 1 + F.col("consec").cast("int")).alias("consecutive"), F.count("disk").alias("touched"),
+    )
+    total = pages.groupBy("generation", "stream").agg(
+        *[F.sum(c).alias(c) for c in ("chunks", "unique_chunks", "redundant_chunks", "consecutive", "touched")], F.count("disk").alias("pages"), F.min("disk").alias("first_page"), F.max("disk").alias("last_page")
+    )
+    current = F.coalesce(F.last("last_page", True).over(steps.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = total.withColumn("disk_misses", F.col("pages") - F.coalesce((F.col("first_page") == current).cast("bigint"), F.lit(0)))
+    return total.select("generation", "stream", "chunks", "unique_chunks", "redundant_chunks", "consecutive", F.lit(0).cast("bigint").alias("mem_hits"), (F.col("touched") - F.col("disk_misses")).alias("disk_hits"), "disk_misses")
+
+
 def merge_pages(trace: DataFrame, entries: int) -> DataFrame:
     """Per generation: the pages that a shared scan of all streams must touch, of the index of earlier generations.
 
@@ -118,3 +161,14 @@ def stream_heads(ordered: DataFrame, limit: int = 1000) -> DataFrame:
     w = Window.partitionBy("stream").orderBy("pos")
     new = ordered.withColumn("before", F.lag("fp").over(w)).where("before is null or before <> fp")
     return new.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).select("stream", "fp", "n")
+
+
+def merged_heads(trace: DataFrame, limit: int) -> DataFrame:
+    """(i, j, fp): the merged head of each two streams i < j of trace(stream, fp), the first `limit` distinct fingerprints
+    of their heads of `limit`."""
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("fp"))
+    heads = trace.select("stream", "fp").distinct().withColumn("n", rank("stream")).where(F.col("n") <= limit).drop("n")
+    streams = heads.select("stream").distinct()
+    pairs = streams.toDF("i").join(streams.toDF("j"), F.col("i") < F.col("j"))
+    both = pairs.join(heads.withColumnRenamed("stream", "i"), "i").select("i", "j", "fp").unionByName(pairs.join(heads.withColumnRenamed("stream", "j"), "j").select("i", "j", "fp"))
+    return both.distinct().withColumn("n", rank("i", "j")).where(F.col("n") <= limit).drop("n")

@@ -246,10 +246,22 @@ def p6_sorted_index(spark, d):
     return sortedindex.sorted_index_stats(_one(spark, d), ENTRIES)
 
 
-def a10_index_ratios(spark, d):
-    p = p6_sorted_index(spark, d)
+def _index_ratios(p, *by):
     hits, misses = F.col("mem_hits") + F.col("disk_hits"), F.col("disk_misses")
-    return p.select("generation", fx.ratio(hits, hits + misses).alias("hit_ratio"), fx.ratio(F.col("disk_hits"), F.col("disk_hits") + misses).alias("disk_hit_ratio"), fx.ratio(F.col("disk_hits"), misses * ENTRIES).alias("page_utility"))
+    return p.select(*by, fx.ratio(hits, hits + misses).alias("hit_ratio"), fx.ratio(F.col("disk_hits"), F.col("disk_hits") + misses).alias("disk_hit_ratio"), fx.ratio(F.col("disk_hits"), misses * ENTRIES).alias("page_utility"))
+
+
+def a10_index_ratios(spark, d):
+    return _index_ratios(p6_sorted_index(spark, d), "generation")
+
+
+def p6_sorted_index_streams(spark, d):
+    """The sorted index of every stream; p6_sorted_index is its part for src0."""
+    return sortedindex.stream_index_stats(backup_trace(spark, d), ENTRIES)
+
+
+def a10_index_ratios_streams(spark, d):
+    return _index_ratios(p6_sorted_index_streams(spark, d), "generation", "stream")
 
 
 def p8_merge_pages(spark, d):
@@ -288,6 +300,11 @@ def j10_head_merge(spark, d):
     return _heads(spark, d).where("stream in ('src0', 'src1')").select("fp").distinct().orderBy("fp").limit(100)
 
 
+def j10_head_merge_pairs(spark, d):
+    """The merged heads of every two streams; j10_head_merge is that of src0 and src1."""
+    return sortedindex.merged_heads(backup_trace(spark, d).where("generation = 0"), 100)
+
+
 def j5_candidates(spark, d):
     return _candidates(spark, d).groupBy("sid", "candidate").agg(F.count("*").alias("hooks"))
 
@@ -340,6 +357,7 @@ QUERIES = {
     "o7_chunks_up_to": o7_chunks_up_to, "o12_client_order": o12_client_order, "j8_page_lookup": j8_page_lookup, "x6_predictions": x6_predictions,
     "p6_sorted_index": p6_sorted_index, "a10_index_ratios": a10_index_ratios, "p8_merge_pages": p8_merge_pages, "a11_page_utility": a11_page_utility, "p9_page_usage": p9_page_usage,
     "x5_page_utility": x5_page_utility, "j10_head_merge": j10_head_merge,
+    "p6_sorted_index_streams": p6_sorted_index_streams, "a10_index_ratios_streams": a10_index_ratios_streams, "j10_head_merge_pairs": j10_head_merge_pairs,
     "j5_candidates": j5_candidates, "o9_recent_segments": o9_recent_segments, "o8_champions_one": o8_champions_one, "p5_sparse_m1": p5_sparse_m1, "p5_sparse_full": p5_sparse_full, "t8_champion_io": t8_champion_io,
     "event_first_seen": event_first_seen, "lineitem_fp_frequency": lineitem_fp_frequency,
     **simulate.QUERIES,
@@ -364,6 +382,13 @@ b AS (SELECT a.*, page, a.fp = pf AS consec FROM a LEFT JOIN pg ON pg.g = a.gene
 y AS (SELECT *, CASE WHEN NOT consec THEN page END AS dp, coalesce(last_value(CASE WHEN NOT consec THEN page END IGNORE NULLS) OVER (ORDER BY generation, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cp FROM b),
 z AS (SELECT generation, count(*) AS chunks, count(*) FILTER (rn = 1 AND NOT consec) AS unique_chunks, count(*) FILTER (rn > 1) AS redundant_chunks, count(*) FILTER (consec) AS consecutive,
   count(*) FILTER (NOT consec AND rn > 1 AND page IS NULL) AS mem_hits, count(*) FILTER (dp = cp) AS disk_hits, count(*) FILTER (dp <> cp) AS disk_misses FROM y GROUP BY generation)"""
+_P6_EACH = _SORTED + f""", a AS (SELECT *, lag(fp, 1, repeat('0', 24)) OVER (PARTITION BY stream ORDER BY generation, pos) AS pf, row_number() OVER (PARTITION BY stream, fp ORDER BY generation, pos) AS rn FROM s),
+d AS (SELECT stream, fp, min(generation) AS since FROM a GROUP BY ALL),
+pg AS (SELECT g, stream, fp, (row_number() OVER (PARTITION BY g, stream ORDER BY fp) - 1) // {ENTRIES} AS page FROM d JOIN (SELECT DISTINCT generation AS g FROM a) ON since < g),
+b AS (SELECT a.*, page, a.fp = pf AS consec FROM a LEFT JOIN pg ON pg.g = a.generation AND pg.fp = a.fp AND pg.stream IS NOT DISTINCT FROM a.stream),
+y AS (SELECT *, CASE WHEN NOT consec THEN page END AS dp, coalesce(last_value(CASE WHEN NOT consec THEN page END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY generation, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cp FROM b),
+z AS (SELECT generation, stream, count(*) AS chunks, count(*) FILTER (rn = 1 AND NOT consec) AS unique_chunks, count(*) FILTER (rn > 1) AS redundant_chunks, count(*) FILTER (consec) AS consecutive,
+  count(*) FILTER (NOT consec AND rn > 1 AND page IS NULL) AS mem_hits, count(*) FILTER (dp = cp) AS disk_hits, count(*) FILTER (dp <> cp) AS disk_misses FROM y GROUP BY generation, stream)"""
 _MERGE = _PAGES + """, top AS (SELECT g, max(fp) AS top FROM pg GROUP BY g), q AS (SELECT DISTINCT generation AS g, fp FROM t),
 l AS (SELECT q.g, q.fp, top, (SELECT min(page) FROM pg WHERE pg.g = q.g AND pg.fp >= q.fp AND q.fp <= top) AS page FROM q LEFT JOIN top ON top.g = q.g),
 m AS (SELECT g AS generation, CAST(count(DISTINCT page) + count(*) FILTER (fp > top) AS BIGINT) AS pages_touched, count(*) AS distinct_fps FROM l GROUP BY g)"""
@@ -416,6 +441,9 @@ ORACLE_SQL = {
     "x6_predictions": f"WITH {_HEADS}, {_FIRST_PAGE} SELECT stream, count(*) FILTER (fp IN (SELECT fp FROM fpg)) AS hits, count(*) FILTER (fp IN (SELECT fp FROM fpg)) / count(*) AS hit_rate, count(*) FILTER (fp IN (SELECT fp FROM fpg)) / (SELECT count(*) FROM fpg) AS utility FROM hd WHERE generation = 1 AND n <= 1000 AND fp <= (SELECT max(fp) FROM fpg) GROUP BY stream",
     "p6_sorted_index": f"WITH {_P6} SELECT * FROM z",
     "a10_index_ratios": f"WITH {_P6} SELECT generation, CASE WHEN mem_hits + disk_hits + disk_misses = 0 THEN 0.0 ELSE (mem_hits + disk_hits) / (mem_hits + disk_hits + disk_misses) END AS hit_ratio, CASE WHEN disk_hits + disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_hits + disk_misses) END AS disk_hit_ratio, CASE WHEN disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_misses * {ENTRIES}) END AS page_utility FROM z",
+    "p6_sorted_index_streams": f"WITH {_P6_EACH} SELECT * FROM z",
+    "a10_index_ratios_streams": f"WITH {_P6_EACH} SELECT generation, stream, CASE WHEN mem_hits + disk_hits + disk_misses = 0 THEN 0.0 ELSE (mem_hits + disk_hits) / (mem_hits + disk_hits + disk_misses) END AS hit_ratio, CASE WHEN disk_hits + disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_hits + disk_misses) END AS disk_hit_ratio, CASE WHEN disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_misses * {ENTRIES}) END AS page_utility FROM z",
+    "j10_head_merge_pairs": f"WITH {_HEADS}, y AS (SELECT DISTINCT stream, fp FROM hd WHERE generation = 0 AND n <= 100), v AS (SELECT a.stream AS i, b.stream AS j FROM (SELECT DISTINCT stream FROM y) a JOIN (SELECT DISTINCT stream FROM y) b ON a.stream < b.stream), z AS (SELECT DISTINCT i, j, fp FROM v JOIN y ON y.stream IN (i, j)) SELECT i, j, fp FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY fp) AS rn FROM z) WHERE rn <= 100",
     "p8_merge_pages": f"WITH {_MERGE} SELECT * FROM m",
     "a11_page_utility": f"WITH {_MERGE}, kn AS (SELECT generation, count(DISTINCT t.fp) AS known FROM t JOIN d ON d.fp = t.fp WHERE since < generation GROUP BY generation) SELECT m.generation, known / {ENTRIES} / pages_touched AS page_utility FROM m JOIN kn ON kn.generation = m.generation",
     "p9_page_usage": f"WITH {_PAGES}, o AS (SELECT stream, row_number() OVER (ORDER BY md5(stream || '|42')) AS rn FROM (SELECT DISTINCT stream FROM t)), e AS (SELECT page, max(fp) AS last_fp FROM pg WHERE g = 2 GROUP BY page), q AS (SELECT DISTINCT stream, fp FROM t WHERE generation = 2), l AS (SELECT fp, coalesce((SELECT min(page) FROM e WHERE last_fp >= v.fp), (SELECT max(page) FROM e)) AS page FROM (SELECT DISTINCT fp FROM q) v) SELECT s.rn AS clients, count(DISTINCT page) AS pages FROM o s JOIN o ON o.rn <= s.rn JOIN q ON q.stream = o.stream JOIN l ON l.fp = q.fp WHERE s.rn = 1 OR s.rn % 5 = 0 GROUP BY s.rn",

@@ -120,6 +120,23 @@ def test_merge_rounds_of_one_stream_are_the_page_set(spark):
         assert found.pages == len({sum(y < x for y in index) // 5 for x in low}) + len(own) - len(low)
 
 
+def test_every_stream_has_the_index_of_one(spark):
+    """Each stream's statistics are those of sorted_index_stats over it alone, whatever its name."""
+    pick = random.Random(7)
+    rows = [(g, s, f"{pick.randrange(25):024x}", 1) for g in range(4) for s in ("a", "b", "src7") for _ in range(pick.randrange(1, 40)) if (g, s) != (2, "b")]
+    rows += [(0, "c", "0" * 24, 1), (1, "c", "f" * 24, 1), (2, "c", "f" * 24, 1), (3, "c", "f" * 24, 1), (0, None, "ab" * 12, 1), (1, None, "ab" * 12, 1)]
+    t = trace(spark, rows)
+    found = {(r.generation, r.stream): tuple(r[2:]) for r in sortedindex.stream_index_stats(t, 3).collect()}
+    names = sorted({r[1] for r in rows} - {None})
+    for s in [*names, None]:
+        own = spark.createDataFrame([(g, "x", i, fp) for i, (g, fp) in enumerate(sorted((r[0], r[2]) for r in rows if r[1] == s))], "generation int, stream string, pos int, fp string")
+        assert {g: x for (g, name), x in found.items() if name == s} == {r.generation: tuple(r[1:]) for r in sortedindex.sorted_index_stats(own, 3).collect()}
+    heads = {}
+    for r in sortedindex.merged_heads(t, 10).collect():
+        heads.setdefault((r.i, r.j), set()).add(r.fp)
+    assert heads == {(i, j): set(sorted({r[2] for r in rows if r[1] in (i, j)})[:10]) for i in names for j in names if i < j}
+
+
 def test_containers_and_blocks(spark):
     t = trace(spark, [(0, "s", f"{i:024x}", n) for i, n in enumerate([60, 50, 40, 200, 10])])
     assert [r.container for r in segments.containers(t, 100).orderBy("chunk_seq").collect()] == [1, 2, 2, 3, 4]
