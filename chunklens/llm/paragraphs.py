@@ -7,7 +7,8 @@ a bit set of fixed size that is built from the candidates and broadcast.
 
 A passage that lies within different lines is found over sliding paragraphs: each run of `span` words of a text is one,
 and of each `window` runs in a row the one with the least hash of its first shingle, a MinHash register of what the runs
-cover, stands for all (winnowing). So two texts that share `span + window - 1` words, 50, choose a run in common.
+cover, stands for all (winnowing). So two texts that share `span + window - 1` words, 50, choose a run in common, beside which all
+runs are compared, so that shared passages are reported whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunklens.llm.near_dedup import linked
@@ -166,26 +167,35 @@ def _sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     return own if width == n else pick(own[: len(values) - n + 1], own[n - width :])
 
 
+def _chosen(words: np.ndarray, row: np.ndarray, k: int, span: int, window: int) -> np.ndarray:
+    """The first words of the chosen runs."""
+    m = len(words) - span + 1
+    if m < window:
+        return np.zeros(0, np.int64)
+    first = np.full(m, _U(k), _U)
+    for j in range(k):
+        first = first * _U(0xD6E8FEB86659FD93) + words[j : m + j]
+    first = mix(first)
+    least = _sliding(first, window, np.minimum)
+    least[row[: len(least)] != row[span + window - 2 :]] = 0
+    edge = np.zeros(window - 1, _U)
+    return np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), window, np.maximum) == first)
+
+
+def _run_hashes(words: np.ndarray, at: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.full(len(at), _U(span), _U), np.full(len(at), _U(k), _U)
+    for j in range(span):
+        a, b = a * _U(0xD6E8FEB86659FD93) + words[at + j], b * _U(0x9E3779B97F4A7C15) + words[at + j]
+    return mix(a), mix(b)
+
+
 def _runs(column, k: int, span: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, line, first word, two hashes of all its words) of the chosen runs of the texts, equal ones of a text once."""
     for lo, _, data, offsets in blocks(column):
         starts, ends, limits = spans(data, offsets, ALNUM_WORDS)
-        m = len(starts) - span + 1
-        if m < window:
-            continue
         words, row = word_hashes(data, starts, ends), np.repeat(np.arange(len(limits) - 1), np.diff(limits))
-        first = np.full(m, _U(k), _U)
-        for j in range(k):
-            first = first * _U(0xD6E8FEB86659FD93) + words[j : m + j]
-        first = mix(first)
-        least = _sliding(first, window, np.minimum)
-        least[row[: len(least)] != row[span + window - 2 :]] = 0
-        edge = np.zeros(window - 1, _U)
-        at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), window, np.maximum) == first)
-        a, b = np.full(len(at), _U(span), _U), np.full(len(at), _U(k), _U)
-        for j in range(span):
-            a, b = a * _U(0xD6E8FEB86659FD93) + words[at + j], b * _U(0x9E3779B97F4A7C15) + words[at + j]
-        a, b = mix(a), mix(b)
+        at = _chosen(words, row, k, span, window)
+        a, b = _run_hashes(words, at, k, span)
         order = np.lexsort((at, b, a, row[at]))
         if not len(order):
             continue
@@ -234,3 +244,89 @@ def repeated_passages(docs: DataFrame, k: int = 5, span: int = 25, window: int =
     return texts.mapInArrow(runs(sent), schema).join(shared, ["a", "b"]).select(
         "doc_id", "line", "word", F.lit(span).alias("words"), "cluster_doc", "n_docs", (F.col("doc_id") == F.col("cluster_doc")).alias("kept")
     )
+
+
+def _filter(runs: DataFrame) -> np.ndarray:
+    """A Bloom filter of two bits for each row of runs(a, b): 16 bits a row, rounded up, but 32 MB at most."""
+    bits = 1 << min(28, max(16, (16 * runs.count()).bit_length()))
+    bit = runs.select(F.explode(F.array("a", "b")).alias("x")).select(F.expr(f"x & {bits - 1}").alias("bit"))
+    words = bit.groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("set")).toArrow()
+    out = np.zeros(bits // 64, _U)
+    out[words["word"].to_numpy()] = words["set"].to_numpy().view(_U)
+    return out
+
+
+def _near(column, sent: np.ndarray, k: int, span: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, line, first word, two hashes, whether the text has it first here) of each run that begins less than `window`
+    words from a chosen one in the filter `sent`."""
+    for lo, _, data, offsets in blocks(column):
+        starts, ends, limits = spans(data, offsets, ALNUM_WORDS)
+        words, row = word_hashes(data, starts, ends), np.repeat(np.arange(len(limits) - 1), np.diff(limits))
+        at = _chosen(words, row, k, span, window)
+        hit = np.ones(len(at), bool)
+        for probe in _run_hashes(words, at, k, span):
+            bit = probe & _U(64 * len(sent) - 1)
+            hit &= (sent[bit // _U(64)] >> bit % _U(64) & _U(1)).astype(bool)
+        at = at[hit]
+        if not len(at):
+            continue
+        edge = np.zeros(len(words) + 1, np.int32)
+        np.add.at(edge, np.maximum(at - window + 1, limits[row[at]]), 1)
+        np.add.at(edge, np.minimum(at + window, limits[row[at] + 1] - span + 1), -1)
+        at = np.flatnonzero(np.cumsum(edge))
+        a, b = _run_hashes(words, at, k, span)
+        once = np.zeros(len(at), bool)
+        once[np.unique(mix(a ^ mix(row[at].astype(_U))), return_index=True)[1]] = True
+        breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
+        yield lo + row[at], breaks[starts[at]] - breaks[offsets[row[at]]], at - limits[row[at]], a.view(np.int64), b.view(np.int64), once
+
+
+def shared_passages(docs: DataFrame, k: int = 5, span: int = 25, window: int = 26) -> DataFrame:
+    """(doc_id, line, word, words, cluster_doc, n_docs, kept) of the passages that documents share word for word, whole,
+    at every place, docs(doc_id, text, ...); line and word are the numbers of the line and of the word in the text at
+    which a passage begins, words is its length.
+
+    A passage is a longest stretch each of whose runs of `span` words another document has too, and all of which the
+    same document, cluster_doc, has first; kept is whether that is this one. So passages of different cluster_doc can
+    overlap by span - 1 words; words of one that is kept are to stay. n_docs counts the rows that have its most common
+    run. Any stretch of span + window - 1 words or more that documents share is covered by passages from its first word
+    to its last: each of its runs begins less than `window` words from one that both chose, and all those are compared.
+    Of a shorter stretch all is covered or a part or nothing.
+
+    Null and empty texts, and those of fewer words, have no passages. Rows with a null doc_id are left out. Rows with
+    the same doc_id are one document, but count each in n_docs; those with equal texts too give one row. Other columns
+    are not read; an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "whole_passages")
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, _, a, b in _runs(batch.column(1), k, span, window):
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(a), pa.array(b)], ["doc_id", "a", "b"])
+
+    in_two = lambda df, *more: df.groupBy("a", "b").agg(F.min("doc_id").alias("cluster_doc"), F.max("doc_id").alias("last_doc"), *more).where("cluster_doc <> last_doc").drop("last_doc")
+    runs = scratch.keep(in_two(texts.mapInArrow(chosen, "doc_id bigint, a bigint, b bigint")).select("a", "b"), "chosen")
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(runs))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, line, word, a, b, once in _near(batch.column(1), sent.value, k, span, window):
+                at = pa.array(row)
+                place = (line.astype(np.int64) << 32) | word
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(at), batch.column(2).take(at), pa.array(place), pa.array(a), pa.array(b), pa.array(once)], ["doc_id", "text_key", "place", "a", "b", "once"])
+
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    # Read twice from the texts: the runs beside chosen ones take more room than their texts.
+    all_of = keyed.mapInArrow(near, "doc_id bigint, text_key bigint, place bigint, a bigint, b bigint, once boolean")
+    shared = scratch.keep(in_two(all_of, F.count_if("once").alias("n")), "shared")
+    found = scratch.keep(all_of.join(shared, ["a", "b"]).select("doc_id", "text_key", "place", "cluster_doc", "n"), "found")
+    scratch.drop("chosen", "shared")
+    w = Window.partitionBy("doc_id", "text_key").orderBy("word")
+    found = found.withColumn("word", F.expr("cast(place & 4294967295 as int)"))
+    same = (F.lag("word").over(w) >= F.col("word") - 1) & (F.lag("cluster_doc").over(w) == F.col("cluster_doc"))
+    found = found.withColumn("begins", F.when(same, 0).otherwise(1)).withColumn("passage", F.sum("begins").over(w))
+    return found.groupBy("doc_id", "text_key", "passage").agg(F.min("place").alias("place"), (F.max("word") - F.min("word") + 1).alias("length"), F.min("cluster_doc").alias("cluster_doc"), F.max("n").alias("n_docs")).select(
+        "doc_id", F.expr("cast(shiftright(place, 32) as int)").alias("line"), F.expr("cast(place & 4294967295 as int)").alias("word"), (F.col("length") + span - 1).cast("int").alias("words"),
+        "cluster_doc", "n_docs", (F.col("doc_id") == F.col("cluster_doc")).alias("kept"),
+    )

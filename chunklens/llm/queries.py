@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunklens.llm.decontaminate import contamination
 from chunklens.llm.near_dedup import near_duplicates
-from chunklens.llm.paragraphs import repeated_paragraphs, repeated_passages
+from chunklens.llm.paragraphs import repeated_paragraphs, shared_passages
 from chunklens.llm.pieces import encoded, read_vocabulary
 from chunklens.llm.pii import personal_data
 from chunklens.llm.quality_classifier import classify
@@ -60,10 +60,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that repeat, then (word is not null) passages of 25 words that do, wherever they lie in lines."""
+    """Paragraphs that repeat, then (word is not null) whole passages that do, wherever they lie in lines."""
     docs = _table(spark, sf_dir, "documents")
     lines = repeated_paragraphs(docs).withColumn("word", F.lit(None).cast("int"))
-    return lines.unionByName(repeated_passages(docs), allowMissingColumns=True)
+    return lines.unionByName(shared_passages(docs), allowMissingColumns=True)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

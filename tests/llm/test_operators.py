@@ -12,7 +12,7 @@ from chunklens.llm import pieces, pii, secret_scan, toxicity, weak_labels
 from chunklens.llm.components import components
 from chunklens.llm.decontaminate import build_index, contamination, find_near
 from chunklens.llm.near_dedup import banding, estimate, merge, near_duplicates, registers
-from chunklens.llm.paragraphs import repeated_paragraphs, repeated_passages
+from chunklens.llm.paragraphs import repeated_paragraphs, repeated_passages, shared_passages
 from chunklens.llm.quality_classifier import classify
 from chunklens.llm.quality_rules import quality_rules
 from chunklens.llm.shards import Conflict, ShardStore, sharded
@@ -286,6 +286,35 @@ def test_passages(spark, odd):
     assert {r.doc_id for r in repeated_passages(odd).collect()} == {8, 9} and repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_passages_are_whole(spark, odd):
+    """Every word of each stretch of 50 words or more that two documents share is in a passage, at every place, and every
+    run of 25 words of a passage is in another document, by brute force."""
+    pick, rows = random.Random(6), []
+    for i in range(25):
+        passage = prose(3000 + i, 50 + 3 * i).split()
+        parts = [passage, passage[: pick.randrange(50, 51 + 3 * i)], passage[pick.randrange(3 * i + 1) :] * 2]
+        for j, part in enumerate(parts):
+            words = [*prose(40_000 + 9 * i + j, pick.randrange(90)).split(), *part, *prose(50_000 + 9 * i + j, pick.randrange(90)).split()]
+            rows.append((3 * i + j, "".join(w + pick.choice("   \n,") + " " for w in words)))
+    words = {d: re.findall("[a-j]+", t) for d, t in rows}
+
+    def shared(n):
+        at = {}
+        for d, own in words.items():
+            for p in range(len(own) - n + 1):
+                at.setdefault(tuple(own[p : p + n]), []).append((d, p))
+        return {x: places for x, places in at.items() if len({d for d, _ in places}) > 1}
+
+    runs, covered = shared(25), set()
+    for r in shared_passages(table(spark, rows)).collect():
+        for p in range(r.word, r.word + r.words - 24):
+            own = runs[tuple(words[r.doc_id][p : p + 25])]
+            assert min(own)[0] == r.cluster_doc and r.kept == (r.doc_id == r.cluster_doc) and len({d for d, _ in own}) <= r.n_docs
+        covered |= {(r.doc_id, p) for p in range(r.word, r.word + r.words)}
+    assert {(d, p + j) for places in shared(50).values() for d, p in places for j in range(50)} <= covered
+    assert {(r.doc_id, r.word, r.words, r.kept) for r in shared_passages(odd).collect()} == {(8, 0, 80, True), (9, 0, 80, False)} and shared_passages(odd.limit(0)).count() == 0
+
+
 def test_shards(spark, odd, tmp_path):
     store = sharded(odd, f"file://{tmp_path}/s", target_bytes=1 << 20, fanout=4, batches=9)
     rows = store.read()
