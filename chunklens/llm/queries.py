@@ -60,7 +60,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that repeat, then (word is not null) whole passages that do, wherever they lie in lines."""
+    """Paragraphs that repeat (word is null), then whole passages that do, wherever they lie in lines (line is null)."""
     docs = _table(spark, sf_dir, "documents")
     lines = repeated_paragraphs(docs).withColumn("word", F.lit(None).cast("int"))
     return lines.unionByName(shared_passages(docs), allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,11 @@ import pyarrow as pa
 BLOCK = 2 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LENGTH, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+#: The low bytes that a word of so many bytes has in a block of eight.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+#: Words of more bytes are hashed one by one.
+_LONG = 512
 
 #: Word bytes: all but white space (space, \t to \r).
 SPACE_WORDS = np.ones(256, bool)
@@ -34,23 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        def of(base: int, m: int) -> np.ndarray:
-            out = np.full(m, base, _U)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-
-        pair = [of(_BASE, max(n, BLOCK + 1)), of(_INVERSE, max(n, BLOCK + 1))]
-        if n > BLOCK + 1:
-            return pair[0], pair[1]
-        _POWERS[:] = pair
-    return _POWERS[0], _POWERS[1]
-
-
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,14 +77,26 @@ def spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, that depends on its (lower-cased) bytes alone."""
+    """A 64-bit hash of each word, that depends on its (lower-cased) bytes alone. Eight bytes at a time are added and
+    mixed, so that words of up to eight bytes with equal lengths never have the same hash, and long words no structure
+    that makes them collide."""
     if not len(starts):
         return np.zeros(0, _U)
-    power, inverse = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, _U)
-    total[0] = 0
-    np.cumsum(((LOWER[data] if lower else data).astype(_U) + _U(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+    own = np.zeros(len(data) + 8, np.uint8)
+    own[: len(data)] = LOWER[data] if lower else data
+    eight = np.ndarray(len(data) + 1, "<u8", own, strides=(1,))
+    length = ends - starts
+    out = mix((eight[starts] & _LOW[np.minimum(length, 8)]) + length.astype(_U) * _LENGTH)
+    rest = np.flatnonzero((length > 8) & (length <= _LONG))
+    at = 8
+    while len(rest):
+        left = length[rest] - at
+        out[rest] = mix(out[rest] * _STEP + (eight[starts[rest] + at] & _LOW[np.minimum(left, 8)]))
+        at += 8
+        rest = rest[left > 8]
+    for i in np.flatnonzero(length > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(own[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def sequence_hashes(words: np.ndarray, limits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

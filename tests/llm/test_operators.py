@@ -12,7 +12,7 @@ from chunklens.llm import pieces, pii, secret_scan, toxicity, weak_labels
 from chunklens.llm.components import components
 from chunklens.llm.decontaminate import build_index, contamination, find_near
 from chunklens.llm.near_dedup import banding, estimate, merge, near_duplicates, registers
-from chunklens.llm.paragraphs import repeated_paragraphs, repeated_passages, shared_passages
+from chunklens.llm.paragraphs import repeated_paragraphs, shared_passages
 from chunklens.llm.quality_classifier import classify
 from chunklens.llm.quality_rules import quality_rules
 from chunklens.llm.shards import Conflict, ShardStore, sharded
@@ -54,8 +54,9 @@ def test_components_match_brute_force(spark):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
         want = {x: root(x) for e in edges if e[0] != e[1] for x in e}
-        found = components(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t")).collect()
-        assert {r.node: r.root for r in found} == want and len(found) == len(want)
+        for held in (0, 1 << 20):  # in rounds alone, or by one task
+            found = components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(4), Scratch(spark, "t"), held=held).collect()
+            assert {r.node: r.root for r in found} == want and len(found) == len(want)
 
 
 def test_sketches_estimate_and_merge():
@@ -262,11 +263,16 @@ def test_paragraphs(spark, odd):
     rows = [(1, prose(10) + "\n" + shared), (2, near + "\nshort line"), (3, prose(11)), (4, other + "\n" + other), (5, shared), (6, "short line")]
     found = repeated_paragraphs(table(spark, rows)).collect()
     assert sorted((r.doc_id, r.line, r.cluster_doc, r.cluster_line, r.n_docs, r.kept) for r in found) == [(1, 1, 1, 1, 3, True), (2, 0, 1, 1, 3, False), (5, 0, 1, 1, 3, False)]
+    # Lines of fewer words make one paragraph, up to an empty line.
+    cut = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, 60, n))
+    rows = [(1, "Title\n\n" + cut(shared, 7)), (2, prose(10) + "\n" + cut(near, 7) + "\n\n" + cut(prose(12), 5)), (3, cut(other, 7)), (4, "a b c\n\nd e f")]
+    found = repeated_paragraphs(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.line, r.words, r.cluster_doc, r.cluster_line, r.kept) for r in found) == [(1, 2, 60, 1, 2, True), (2, 1, 60, 1, 2, False)]
     assert sorted(r.doc_id for r in repeated_paragraphs(odd).collect()) == [8, 8, 9] and repeated_paragraphs(odd.limit(0)).count() == 0
 
 
 def test_passages(spark, odd):
-    """Of a shared passage of 50 words at least one run is found, wherever it lies; every run found repeats."""
+    """A shared passage of 50 words is found, wherever it lies; all that is found repeats."""
     pick, rows = random.Random(5), []
     for i in range(40):
         passage = prose(1000 + i, 50)
@@ -274,16 +280,13 @@ def test_passages(spark, odd):
             words = [*prose(10_000 + 2 * i + side, pick.randrange(90)).split(), *passage.split(), *prose(20_000 + 2 * i + side, pick.randrange(90)).split()]
             rows.append((2 * i + side, "".join(w + pick.choice("   \n,") + " " for w in words)))
     rows += [(100, prose(1)), (101, prose(2, 24)), (102, prose(2, 24)), (103, prose(3, 60) + " " + prose(3, 60))]
-    found = repeated_passages(table(spark, rows)).collect()
+    found = shared_passages(table(spark, rows)).collect()
     assert {r.doc_id for r in found} == set(range(80)) and all(r.cluster_doc == r.doc_id // 2 * 2 and r.n_docs == 2 and r.kept == (r.doc_id % 2 == 0) for r in found)
     text = dict(rows)
     for r in found:
         words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text[r.doc_id])
         run = words[r.word : r.word + r.words]
-        assert len(run) == 25 and " ".join(run) in prose(1000 + r.doc_id // 2, 50)
-        lines = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", x) for x in text[r.doc_id].split("\n")]
-        assert sum(map(len, lines[: r.line])) <= r.word < sum(map(len, lines[: r.line + 1]))
-    assert {r.doc_id for r in repeated_passages(odd).collect()} == {8, 9} and repeated_passages(odd.limit(0)).count() == 0
+        assert len(run) >= 25 and " ".join(run) in prose(1000 + r.doc_id // 2, 50)
 
 
 def test_passages_are_whole(spark, odd):
@@ -309,7 +312,7 @@ def test_passages_are_whole(spark, odd):
     for r in shared_passages(table(spark, rows)).collect():
         for p in range(r.word, r.word + r.words - 24):
             own = runs[tuple(words[r.doc_id][p : p + 25])]
-            assert min(own)[0] == r.cluster_doc and r.kept == (r.doc_id == r.cluster_doc) and len({d for d, _ in own}) <= r.n_docs
+            assert r.cluster_doc in {d for d, _ in own} and r.kept == (r.doc_id == r.cluster_doc)
         covered |= {(r.doc_id, p) for p in range(r.word, r.word + r.words)}
     assert {(d, p + j) for places in shared(50).values() for d, p in places for j in range(50)} <= covered
     assert {(r.doc_id, r.word, r.words, r.kept) for r in shared_passages(odd).collect()} == {(8, 0, 80, True), (9, 0, 80, False)} and shared_passages(odd.limit(0)).count() == 0
