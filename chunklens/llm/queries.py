@@ -30,9 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard, and a hash of the whole row, of each document, read back from the compacted store."""
+    """The shard, and a hash of the whole row, of each document, that arrived in eight batches, read back from the
+    compacted store."""
     docs = _table(spark, sf_dir, "documents")
-    store = sharded(docs, f"{Scratch(spark, 'store').path}/documents", target_bytes=64 << 20, fanout=4)
+    store = sharded(docs, f"{Scratch(spark, 'store').path}/documents", target_bytes=64 << 20, fanout=4, batches=8)
     return store.read(shard_column="shard").select("doc_id", "shard", F.xxhash64(*docs.columns).alias("row_hash"))
 
 

@@ -332,6 +332,39 @@ def test_shards(spark, odd, tmp_path):
     assert sharded(odd.limit(0), f"file://{tmp_path}/e").read().count() == 0
 
 
+def test_shards_of_several_writers(spark, tmp_path):
+    """Columns that come late or not at all, types that differ, writers that interleave, vacuum beside an open writer."""
+    store, other = (ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    for i in range(4):
+        store.append(spark.createDataFrame([(i, "a")], "doc_id bigint, text string"))
+    store.append(spark.createDataFrame([(4, 0.5)], "doc_id bigint, late double"))
+    for _ in range(2):
+        rows = {r.doc_id: (r.text, r.late) for r in store.read().collect()}
+        assert rows == {0: ("a", None), 1: ("a", None), 2: ("a", None), 3: ("a", None), 4: (None, 0.5)}
+        store.compact(1 << 20, 2)
+        store.vacuum(grace_seconds=0)
+    with pytest.raises(ValueError, match="late"):
+        store.append(spark.createDataFrame([("x",)], "late string"))
+    # A writer whose shards are written is not committed yet: vacuum leaves them, and its commit comes after the other's.
+    write, found = other._write, []
+
+    def late(*x):
+        out = write(*x)
+        found.append(store.append(spark.createDataFrame([(6, "c")], "doc_id bigint, text string")))
+        store.vacuum()
+        return out
+
+    other._write = late
+    version = other.append(spark.createDataFrame([(5, "b")], "doc_id bigint, text string"))
+    assert version == found[0] + 1 and sorted(r.doc_id for r in store.read().collect()) == list(range(7))
+    with pytest.raises(Conflict):
+        store.commit([], version - 1)
+    # A merge that another writer's commit overtakes is committed after it.
+    other.compact(1 << 20, 2)
+    assert sorted(r.doc_id for r in store.read().collect()) == sorted([*range(7), *[6] * (len(found) - 1)]) and len(found) > 1
+
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
