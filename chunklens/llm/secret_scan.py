@@ -2,9 +2,11 @@
 
 Tokens of 16 or more characters get an encoding (the smallest alphabet that has all their characters), a chi-squared
 test of uniformity over it, a runs test and a serial-correlation test, combined by Fisher's method to the probability
-u of a token so uneven if it were random. Ordinary text gives the null distribution of u for each class of lengths:
-each document adds one run of its letters for each class. Within a class, the tokens with u of at least t are
-reported for the least t at which the expected share of ordinary tokens among them is q at most.
+u of a token so uneven if it were random. Ordinary text gives the null distribution of encodings and u for each class of
+lengths: the letters of every whole text outside of such tokens, cut into runs. For a class and an encoding, the tokens
+with u of at least t are reported for the least t at which the expected share of ordinary ones among them is q at most.
+So a short token of small letters, which words make up too, is seldom reported, and one with digits and both cases is
+when it is even. Tokens that people make of words, digits and marks are in no null distribution; u alone tells them.
 """
 
 from __future__ import annotations
@@ -33,15 +35,19 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _DIGIT, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Alphabets from small to large.
 ALPHABETS = (_DIGIT, _DIGIT + "abcdef", _DIGIT + "ABCDEF", _LOWER, _UPPER, "234567" + _UPPER, _DIGIT + _LOWER, _DIGIT + _UPPER, _UPPER + _LOWER, _DIGIT + _UPPER + _LOWER, _DIGIT + _UPPER + _LOWER + "+/=_-")
+CODES = len(LENGTHS) * len(ALPHABETS) * BINS
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(ALPHABETS[-1].encode())] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[list((_UPPER + _LOWER).encode())] = True
-_PLACE = np.full((len(ALPHABETS), 256), -1)
+_PLACE, _FITS = np.zeros((len(ALPHABETS), 256), np.float32), np.zeros(256, np.uint16)
 for _i, _a in enumerate(ALPHABETS):
     _PLACE[_i, list(_a.encode())] = range(len(_a))
+    _FITS[list(_a.encode())] |= 1 << _i
 _SIZES = np.array([len(a) for a in ALPHABETS])
 _ERFC = np.vectorize(math.erfc, otypes=[float])
+#: erfc at steps of 1 / 64 up to 8, beyond which it counts as that.
+_TAIL = _ERFC(np.arange(513) / 64)
 
 
 def base_spans(text: str, tokens: bool = True) -> list[tuple[int, int, int]]:
@@ -56,45 +62,71 @@ def base_spans(text: str, tokens: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def battery(tokens: np.ndarray) -> np.ndarray:
-    """u of each token; tokens is a matrix of bytes, one token of equal length a row."""
+def battery(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(encoding, u) of each token; tokens is a matrix of bytes, one token of equal length a row."""
     n, length = tokens.shape
-    has = np.stack([(p[tokens] >= 0).all(1) for p in _PLACE], 1)
-    which = np.argmax(has, 1)
+    flat = np.ascontiguousarray(tokens.T)
+    fits = np.bitwise_and.reduce(_FITS[flat], axis=0)
+    which = np.log2(fits & -fits.astype(np.int32)).astype(int)
     size = _SIZES[which].astype(float)
-    place = _PLACE[which[:, None], tokens].astype(float)
-    counts = np.bincount((np.arange(n)[:, None] * 256 + tokens).ravel(), minlength=n * 256).reshape(n, 256).astype(float)
-    chi, free = (counts**2).sum(1) * size / length - length, size - 1
-    z1 = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free))
-    runs = 1 + np.diff(place >= (size / 2)[:, None], axis=1).sum(1)
-    z2 = (runs - 1 - (length - 1) / 2) / np.sqrt((length - 1) / 4)
-    x = place - place.mean(1, keepdims=True)
-    z3 = ((x[:, 1:] * x[:, :-1]).sum(1) / np.maximum((x**2).sum(1), 1e-9) + 1 / length) * np.sqrt(length)
-    half = -np.log(np.maximum(_ERFC(np.abs(np.stack([z1, z2, z3], 1)) / math.sqrt(2)), 1e-300)).sum(1)
-    return np.exp(-half) * (1 + half + half * half / 2)
-
-
-def _graded(tokens: list[bytes]) -> list[tuple[int, int]]:
-    """(class of length, bin of u) of each token."""
-    out, by = [(0, 0)] * len(tokens), {}
+    if length <= 128:  # pairs of equal characters, at each distance
+        squares = np.full(n, float(length))
+        for step in range(1, length):
+            squares += 2.0 * np.add.reduce((flat[step:] == flat[:-step]).view(np.uint8), axis=0, dtype=np.uint8)
+    else:
+        squares = (np.bincount((np.arange(n)[:, None] * 256 + tokens).ravel(), minlength=n * 256).reshape(n, 256).astype(float) ** 2).sum(1)
+    chi, free = squares * size / length - length, size - 1
+    z1 = (np.cbrt(np.maximum(chi, 0) / free) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free))
+    place = _PLACE[which[None, :], flat]
+    high = place >= (size / 2).astype(np.float32)
+    runs = (high[1:] != high[:-1]).sum(0)
+    z2 = (runs - (length - 1) / 2) / np.sqrt((length - 1) / 4)
+    x = place - place.mean(0, dtype=np.float32)
+    z3 = ((x[1:] * x[:-1]).sum(0) / np.maximum((x * x).sum(0), 1e-9) + 1 / length) * np.sqrt(length)
+    at = np.minimum(np.abs(np.stack([z1, z2, z3])) / math.sqrt(2) * 64, 512).astype(int)
+    half = -np.log(_TAIL[at] + 1e-300).sum(0)
+    return which, np.exp(-half) * (1 + half + half * half / 2)
+
+
+def _codes(tokens: np.ndarray) -> np.ndarray:
+    """One number for class of length, encoding and bin of u of each token."""
+    kind = int(np.searchsorted(LENGTHS, tokens.shape[1], side="right")) - 1
+    step = max(1, 4_000_000 // tokens.shape[1])
+    parts = [battery(tokens[lo : lo + step]) for lo in range(0, len(tokens), step)]
+    which, u = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return (kind * len(ALPHABETS) + which) * BINS + np.minimum((u * BINS).astype(int), BINS - 1)
+
+
+def _graded(tokens: list[bytes]) -> list[int]:
+    out, by = [0] * len(tokens), {}
     for i, t in enumerate(tokens):
         by.setdefault(len(t), []).append(i)
     for length, own in by.items():
-        kind = int(np.searchsorted(LENGTHS, length, side="right")) - 1
-        for lo in range(0, len(own), max(1, 2_000_000 // (length + 256))):
-            some = own[lo : lo + max(1, 2_000_000 // (length + 256))]
-            u = battery(np.frombuffer(b"".join(tokens[i] for i in some), np.uint8).reshape(len(some), length))
-            for i, x in zip(some, np.minimum((u * BINS).astype(int), BINS - 1), strict=True):
-                out[i] = (kind, int(x))
+        for i, code in zip(own, _codes(np.frombuffer(b"".join(tokens[i] for i in own), np.uint8).reshape(len(own), length)).tolist(), strict=True):
+            out[i] = code
     return out
 
 
-_FOUND = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found array<struct<start:int,kind:int,end:int,code:int>>, ordinary array<int>"
+def _ordinary(letters: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, how many) of the runs of letters that the texts are cut into, for each class of lengths in turn."""
+    total = np.zeros(CODES, np.int64)
+    for length in LENGTHS:
+        count = np.diff(limits) // length
+        if count.sum():
+            first = np.repeat(limits[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]) * length, count) + np.arange(count.sum()) * length
+            total += np.bincount(_codes(letters[first[:, None] + np.arange(length)]), minlength=CODES)
+    some = np.flatnonzero(total)
+    return some, total[some]
+
+
+_FOUND = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found array<struct<start:int,kind:int,end:int,code:int>>, ordinary array<struct<code:int,n:bigint>>"
+_COUNT = pa.struct([("code", pa.int32()), ("n", pa.int64())])
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("code", pa.int32())])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Base spans, graded tokens outside of them, and grades of ordinary letters, of each row of docs(doc_id, text, ...)."""
+    """Base spans and graded tokens outside of them, of each row of docs(doc_id, text, ...); ordinary: the counts of
+    grades of ordinary letters of some rows' texts, at the first of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,25 +146,21 @@ def candidates(docs: DataFrame) -> DataFrame:
                     s, e = int(point[starts[w]] - first), int(point[ends[w] - 1] - first) + 1
                     if not any(a < e and s < b for a, _, b in base[r]):
                         free.append((int(r), s, e, data[starts[w] : ends[w]].tobytes()))
-                for (r, s, e, _), (kind, u) in zip(free, _graded([x[3] for x in free]), strict=True):
-                    found[r].append((s, 3, e, kind * BINS + u))
-                letters, null, own = np.flatnonzero(_LETTER[data]), [], []
-                cut = np.searchsorted(letters, offsets)
-                for r in range(hi - lo):
-                    n = int(cut[r + 1] - cut[r])
-                    for i, length in enumerate(LENGTHS):
-                        if n >= length:
-                            at = int(cut[r]) + zlib.crc32(b"%d %d" % (n, i)) % (n - length + 1)
-                            own.append(r)
-                            null.append(data[letters[at : at + length]].tobytes())
-                ordinary: list[list[int]] = [[] for _ in texts]
-                for r, (kind, u) in zip(own, _graded(null), strict=True):
-                    ordinary[r].append(kind * BINS + u)
+                for (r, s, e, _), code in zip(free, _graded([x[3] for x in free]), strict=True):
+                    found[r].append((s, 3, e, code))
+                plain = _LETTER[data]
+                edge = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edge, starts[long], 1)
+                np.add.at(edge, ends[long], -1)
+                plain &= np.cumsum(edge[:-1]) == 0
+                letters = np.flatnonzero(plain)
+                grades, many = _ordinary(data[letters], np.searchsorted(letters, offsets))
+                ordinary = [[{"code": c, "n": n} for c, n in zip(grades.tolist(), many.tolist(), strict=True)], *([None] * (hi - lo - 1))]
                 digests = [hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in x).encode()).hexdigest() for x in base]
                 counts = [pa.array([sum(k == kind for _, k, _ in x) for x in base], pa.int64()) for kind in range(3)]
                 names = ["start", "kind", "end", "code"]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), *counts, pa.array(digests, pa.string()), pa.array([[dict(zip(names, s, strict=True)) for s in sorted(x)] for x in found], pa.list_(_SPAN)), pa.array(ordinary, pa.list_(pa.int32()))],
+                    [ids.slice(lo, hi - lo), *counts, pa.array(digests, pa.string()), pa.array([[dict(zip(names, s, strict=True)) for s in sorted(x)] for x in found], pa.list_(_SPAN)), pa.array(ordinary, pa.list_(_COUNT))],
                     ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found", "ordinary"],
                 )
 
@@ -140,12 +168,14 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(tokens: np.ndarray, ordinary: np.ndarray, q: float) -> list[int]:
-    """For each class of lengths, the least bin of u that is reported (BINS: none), from counts of classes x bins."""
+    """For each class of lengths and encoding, the least bin of u that is reported (BINS: none), from counts of classes x
+    encodings x bins. The lowest bin never is: its tokens are not random."""
     out = []
     for own, null in zip(tokens, ordinary, strict=True):
-        above, chance = own[::-1].cumsum()[::-1], (null[::-1].cumsum()[::-1] + 1) / (null.sum() + 1)
-        good = np.flatnonzero((above > 0) & (own.sum() * chance <= q * above))
-        out.append(int(good[0]) if len(good) else BINS)
+        for mine, theirs in zip(own, null, strict=True):
+            above, chance = mine[::-1].cumsum()[::-1], (theirs[::-1].cumsum()[::-1] + 1) / (null.sum() + 1)
+            good = np.flatnonzero((above > 0) & (own.sum() * chance <= q * above) & (np.arange(BINS) > 0))
+            out.append(int(good[0]) if len(good) else BINS)
     return out
 
 
@@ -156,10 +186,14 @@ def secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
     A null or empty text has none; a null doc_id stays null, repeated rows stay repeated; other columns are not read.
     """
     found = Scratch(docs.sparkSession, "secrets").keep(candidates(docs), "candidates")
-    tokens, ordinary = np.zeros((len(LENGTHS), BINS)), np.zeros((len(LENGTHS), BINS))
-    for into, codes in ((tokens, F.explode("found.code")), (ordinary, F.explode("ordinary"))):
-        for code, n in found.select(codes.alias("code")).where("code >= 0").groupBy("code").count().collect():
-            into.flat[code] = n
+    tokens, ordinary = np.zeros(CODES), np.zeros(CODES)
+    codes = found.select(F.explode("found.code").alias("code")).where("code >= 0").groupBy("code").agg(F.count("*").alias("n"))
+    nulls = found.select(F.explode("ordinary").alias("x")).groupBy("x.code").agg(F.sum("x.n").alias("n"))
+    for into, rows in ((tokens, codes), (ordinary, nulls)):  # CODES rows at most
+        for code, n in rows.collect():
+            into[code] = n
+    shape = (len(LENGTHS), len(ALPHABETS), BINS)
+    tokens, ordinary = tokens.reshape(shape), ordinary.reshape(shape)
     least = F.array(*map(F.lit, thresholds(tokens, ordinary, q)))
     names = F.array(*map(F.lit, KINDS))
     kept = F.filter("found", lambda x: (x["code"] < 0) | (x["code"] % BINS >= F.get(least, F.floor(x["code"] / BINS).cast("int"))))

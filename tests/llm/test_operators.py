@@ -173,6 +173,39 @@ def test_secrets(spark, odd):
     assert secret_scan.secrets(odd).count() == odd.count() and secret_scan.secrets(odd.limit(0)).count() == 0
 
 
+def test_secrets_find_planted_tokens(spark):
+    """Random tokens of several encodings and lengths are found; long words, patterns and numbers that count up are not.
+    Base spans and their digest are those of the plain patterns, over random strings of their characters."""
+    pick = random.Random(21)
+    small, big, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    rows, planted = [], {}
+    for i in range(600):
+        words = prose(70_000 + i, 120).split()
+        if i % 3 == 0:
+            alphabet = pick.choice([small + big + digit, small + big + digit + "+/", big + "234567", small + digit, big + digit])
+            token = "".join(pick.choice(alphabet) for _ in range(pick.choice([20, 24, 32, 40, 64])))
+            if not secret_scan.base_spans(f" {token} "):
+                planted[i] = token
+                words.insert(60, token)
+        else:
+            words.insert(60, pick.choice(["".join(words[:5])[:24].ljust(16, "o"), "ab" * 12, "A" * 30, "0123456789" * 3, "x0" * 10, "AB12" * 8]))
+        rows.append((i, " ".join(words)))
+    found = {r.doc_id: [tuple(x.split(":")) for x in r.spans.split(",") if x.startswith("random")] for r in secret_scan.secrets(table(spark, rows)).collect()}
+    text = dict(rows)
+    right = sum([text[i][int(a) : int(b)] for _, a, b in found[i]] == [token] for i, token in planted.items())
+    wrong = sum(len(x) for i, x in found.items()) - right
+    assert right >= 0.9 * len(planted) and wrong <= 0.05 * right
+
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", ":", "=", " ", "'", '"', "AKIA", "ABCDEFGH", "0123456789abcdef", "dead", "-_/+.", "é", "\n", "x" * 12]
+    rows = [(i, "".join(pick.choice(parts) for _ in range(pick.randrange(60)))) for i in range(400)]
+    patterns = (r"(?ia:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
+    for r in secret_scan.secrets(table(spark, rows)).collect():
+        want = [[m for m in re.finditer(p, dict(rows)[r.doc_id]) if len(m.group(*([1] if k == 0 else [0]))) >= (12, 18, 16)[k]] for k, p in enumerate(patterns)]
+        spans = sorted((m.start(), k, m.end()) for k, x in enumerate(want) for m in x)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(map(len, want))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
 def test_expectation_maximisation_finds_reliabilities():
     pick = np.random.default_rng(2)
     truth = pick.random(20_000) < 0.4
