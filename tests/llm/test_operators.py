@@ -160,6 +160,53 @@ def test_personal_base_spans_match_the_plain_patterns():
         want += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
         assert [x for x in pii.base_spans(t) if x[1] != 2] == sorted(want)
 
+    def luhn(digits):
+        own = [int(c) for c in digits[::-1]]
+        return (sum(own[::2]) + sum(sum(divmod(2 * x, 10)) for x in own[1::2])) % 10 == 0
+
+    cards = 0
+    for _ in range(20_000):
+        t = "".join(pick.choice(["4111", "5500", "0000", "12", "7", "-", " ", " ", "x", "."]) for _ in range(pick.randrange(0, 14)))
+        want = [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(own := re.sub("[ -]", "", m.group())) <= 19 and luhn(own)]
+        assert [x for x in pii.base_spans(t) if x[1] == 2] == want
+        cards += len(want)
+    assert cards > 500
+
+
+def test_personal_data_beyond_base_patterns(spark):
+    """Planted phone numbers without a country code, national numbers and titled names are found, and look-alikes with a
+    counter-cue or of impossible numbers are not; base digests are right over all texts."""
+    pick, rows, planted, decoys = random.Random(31), [], {}, {}
+    number = lambda n: "".join(pick.choice("23456789") for _ in range(n))
+    for i in range(900):
+        words, kind = prose(80_000 + i, 40).split(), i % 6
+        if kind == 0:
+            cue, own = pick.choice(["call", "phone", "tel", "or"]), f"({number(3)}) {number(3)}-{number(4)}"
+        elif kind == 1:
+            cue, own = pick.choice(["ssn", "social", "his"]), f"{pick.choice('12345')}{number(2)}-{number(2)}-{number(4)}"
+        elif kind == 2:
+            cue, own = pick.choice(["ask", "with"]), f"{pick.choice(['Dr.', 'Mrs.', 'Herr'])} {pick.choice(['Maria', 'Peter', 'Anna'])} {pick.choice(['Smith', 'Weber', 'Kowalski'])}"
+        elif kind == 3:
+            cue, own = pick.choice(["order", "invoice", "serial"]), f"{number(3)}-{number(3)}-{number(4)}"
+        elif kind == 4:
+            cue, own = pick.choice(["part", "ref", "isbn"]), pick.choice(["000-12-3456", "666-12-3456", "912-34-5678", "123-00-4567"])
+        else:
+            cue, own = "mail", f"{words[0]}@{words[1]}.com"
+        at = len(" ".join([*words[:20], cue])) + 1
+        text = " ".join([*words[:20], cue, own, *words[20:]])
+        rows.append((i, text))
+        if kind < 3:
+            planted[i] = (at, at + len(own))
+        elif kind < 5:
+            decoys[i] = (at, at + len(own))
+    found = {}
+    for r in pii.personal_data(table(spark, rows)).collect():
+        base = pii.base_spans(dict(rows)[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+        found[r.doc_id] = {(int(x.split(":")[1]), int(x.split(":")[2])) for x in r.spans.split(",") if x}
+    right, wrong = sum(x in found[i] for i, x in planted.items()), sum(x in found[i] for i, x in decoys.items())
+    assert right >= 0.9 * len(planted) and wrong <= 0.1 * right, (right, len(planted), wrong, len(decoys))
+
 
 def test_secrets(spark, odd):
     pick = random.Random(8)
