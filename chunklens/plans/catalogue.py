@@ -34,7 +34,6 @@ _CANDIDATES = _HOOKS + f""", c AS (SELECT sid, fp, candidate FROM (SELECT cur.si
 _PAGES = _TRACE + f""", d AS (SELECT fp, min(generation) AS since FROM t GROUP BY fp),
 pg AS (SELECT g, fp, (row_number() OVER (PARTITION BY g ORDER BY fp) - 1) // {ENTRIES} AS page FROM d JOIN (SELECT DISTINCT generation AS g FROM t) ON since < g)"""
 _USAGE = _TRACE + ", u AS (SELECT generation, fp, count(DISTINCT stream) AS k, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM t GROUP BY generation, fp)"
-_ONE = _SORTED + ", a AS (SELECT *, lag(fp, 1, repeat('0', 24)) OVER (ORDER BY generation, pos) AS pf, row_number() OVER (PARTITION BY fp ORDER BY generation, pos) AS rn FROM s WHERE stream = 'src0')"
 
 
 def _first(trace):
@@ -71,8 +70,8 @@ def f5_consecutive_dups(spark, d):
 
 
 def f6_file_hash(spark, d):
-    files = backup_trace(spark, d).where("generation = 0").groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("chunk_seq", "fp"))).alias("x"))
-    return files.select("filename", F.md5(F.concat_ws("", F.transform("x", lambda x: x["fp"]))).alias("hash"))
+    files = backup_trace(spark, d).groupBy("generation", "filename").agg(F.array_sort(F.collect_list(F.struct("chunk_seq", "fp"))).alias("x"))
+    return files.select("generation", "filename", F.md5(F.concat_ws("", F.transform("x", lambda x: x["fp"]))).alias("hash"))
 
 
 def f9_f17_scalars(spark, d):
@@ -238,12 +237,9 @@ def x6_predictions(spark, d):
     return head.groupBy("stream").agg(hits.alias("hits"), (hits / F.count("*")).alias("hit_rate")).crossJoin(F.broadcast(size)).select("stream", "hits", "hit_rate", (F.col("hits") / F.col("entries")).alias("utility"))
 
 
-def _one(spark, d):
-    return sorted_trace(spark, d).where("stream = 'src0'")
-
-
 def p6_sorted_index(spark, d):
-    return sortedindex.sorted_index_stats(_one(spark, d), ENTRIES)
+    """The sorted index of every stream, each on an index of its own."""
+    return sortedindex.stream_index_stats(backup_trace(spark, d), ENTRIES)
 
 
 def _index_ratios(p, *by):
@@ -252,16 +248,7 @@ def _index_ratios(p, *by):
 
 
 def a10_index_ratios(spark, d):
-    return _index_ratios(p6_sorted_index(spark, d), "generation")
-
-
-def p6_sorted_index_streams(spark, d):
-    """The sorted index of every stream; p6_sorted_index is its part for src0."""
-    return sortedindex.stream_index_stats(backup_trace(spark, d), ENTRIES)
-
-
-def a10_index_ratios_streams(spark, d):
-    return _index_ratios(p6_sorted_index_streams(spark, d), "generation", "stream")
+    return _index_ratios(p6_sorted_index(spark, d), "generation", "stream")
 
 
 def p8_merge_pages(spark, d):
@@ -296,12 +283,7 @@ def x5_page_utility(spark, d):
 
 
 def j10_head_merge(spark, d):
-    """The merged head of two streams: the first 100 of their union."""
-    return _heads(spark, d).where("stream in ('src0', 'src1')").select("fp").distinct().orderBy("fp").limit(100)
-
-
-def j10_head_merge_pairs(spark, d):
-    """The merged heads of every two streams; j10_head_merge is that of src0 and src1."""
+    """The merged heads of every two streams: the first 100 of their union."""
     return sortedindex.merged_heads(backup_trace(spark, d).where("generation = 0"), 100)
 
 
@@ -357,7 +339,6 @@ QUERIES = {
     "o7_chunks_up_to": o7_chunks_up_to, "o12_client_order": o12_client_order, "j8_page_lookup": j8_page_lookup, "x6_predictions": x6_predictions,
     "p6_sorted_index": p6_sorted_index, "a10_index_ratios": a10_index_ratios, "p8_merge_pages": p8_merge_pages, "a11_page_utility": a11_page_utility, "p9_page_usage": p9_page_usage,
     "x5_page_utility": x5_page_utility, "j10_head_merge": j10_head_merge,
-    "p6_sorted_index_streams": p6_sorted_index_streams, "a10_index_ratios_streams": a10_index_ratios_streams, "j10_head_merge_pairs": j10_head_merge_pairs,
     "j5_candidates": j5_candidates, "o9_recent_segments": o9_recent_segments, "o8_champions_one": o8_champions_one, "p5_sparse_m1": p5_sparse_m1, "p5_sparse_full": p5_sparse_full, "t8_champion_io": t8_champion_io,
     "event_first_seen": event_first_seen, "lineitem_fp_frequency": lineitem_fp_frequency,
     **simulate.QUERIES,
@@ -376,13 +357,7 @@ SELECT {', '.join('x.' + c for c in by.split(', '))}, x.i, x.fp, x.size, {step_n
 
 
 _ROLL = "CAST(count(*) AS BIGINT) AS chunks, CAST(sum(size) AS BIGINT) AS bytes, CAST(count(*) FILTER (rn = 1) AS BIGINT) AS unique_chunks, CAST(count(*) FILTER (rn > 1) AS BIGINT) AS redundant_chunks, count(*) FILTER (rn > 1) / count(*) AS redundant_ratio"
-_P6 = _ONE + f""", d AS (SELECT fp, min(generation) AS since FROM a GROUP BY fp),
-pg AS (SELECT g, fp, (row_number() OVER (PARTITION BY g ORDER BY fp) - 1) // {ENTRIES} AS page FROM d JOIN (SELECT DISTINCT generation AS g FROM a) ON since < g),
-b AS (SELECT a.*, page, a.fp = pf AS consec FROM a LEFT JOIN pg ON pg.g = a.generation AND pg.fp = a.fp),
-y AS (SELECT *, CASE WHEN NOT consec THEN page END AS dp, coalesce(last_value(CASE WHEN NOT consec THEN page END IGNORE NULLS) OVER (ORDER BY generation, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cp FROM b),
-z AS (SELECT generation, count(*) AS chunks, count(*) FILTER (rn = 1 AND NOT consec) AS unique_chunks, count(*) FILTER (rn > 1) AS redundant_chunks, count(*) FILTER (consec) AS consecutive,
-  count(*) FILTER (NOT consec AND rn > 1 AND page IS NULL) AS mem_hits, count(*) FILTER (dp = cp) AS disk_hits, count(*) FILTER (dp <> cp) AS disk_misses FROM y GROUP BY generation)"""
-_P6_EACH = _SORTED + f""", a AS (SELECT *, lag(fp, 1, repeat('0', 24)) OVER (PARTITION BY stream ORDER BY generation, pos) AS pf, row_number() OVER (PARTITION BY stream, fp ORDER BY generation, pos) AS rn FROM s),
+_P6 = _SORTED + f""", a AS (SELECT *, lag(fp, 1, repeat('0', 24)) OVER (PARTITION BY stream ORDER BY generation, pos) AS pf, row_number() OVER (PARTITION BY stream, fp ORDER BY generation, pos) AS rn FROM s),
 d AS (SELECT stream, fp, min(generation) AS since FROM a GROUP BY ALL),
 pg AS (SELECT g, stream, fp, (row_number() OVER (PARTITION BY g, stream ORDER BY fp) - 1) // {ENTRIES} AS page FROM d JOIN (SELECT DISTINCT generation AS g FROM a) ON since < g),
 b AS (SELECT a.*, page, a.fp = pf AS consec FROM a LEFT JOIN pg ON pg.g = a.generation AND pg.fp = a.fp AND pg.stream IS NOT DISTINCT FROM a.stream),
@@ -410,7 +385,7 @@ ORACLE_SQL = {
     "f3_landmarks": f"WITH {_TRACE} SELECT generation, stream, count(*) AS landmarks FROM t WHERE {_LANDMARK} GROUP BY generation, stream",
     "f4_bloom_positives": f"WITH {_TRACE}, o AS (SELECT DISTINCT generation, fp, min(generation) OVER (PARTITION BY fp) < generation AS known FROM t) SELECT generation, count(*) FILTER (known) AS known, count(*) FILTER (known OR ('0x' || substr(md5(fp || '|7'), 1, 12))::BIGINT / 281474976710656.0 < 0.25) AS positive FROM o GROUP BY generation",
     "f5_consecutive_dups": f"WITH {_SORTED} SELECT generation, stream, count(*) FILTER (c) AS consecutive FROM (SELECT *, fp = lag(fp, 1, repeat('0', 24)) OVER (PARTITION BY stream ORDER BY generation, pos) AS c FROM s) GROUP BY generation, stream",
-    "f6_file_hash": f"WITH {_TRACE} SELECT filename, md5(string_agg(fp, '' ORDER BY chunk_seq)) AS hash FROM t WHERE generation = 0 GROUP BY filename",
+    "f6_file_hash": f"WITH {_TRACE} SELECT generation, filename, md5(string_agg(fp, '' ORDER BY chunk_seq)) AS hash FROM t GROUP BY generation, filename",
     "f9_f17_scalars": f"WITH {_TRACE} SELECT file_seq, chunk_seq, file_seq // 10 AS position_page, file_seq // (4096 // (({CONTAINER} // 1024) * 24)) AS container_page, CAST(ceil(size / 4096) * 4096 AS BIGINT) AS rounded, 24 + 20 * size AS segment_bytes, CASE WHEN chunk_seq < file_seq THEN chunk_seq - file_seq + 4294967296 ELSE chunk_seq - file_seq END AS distance, CAST(('0x' || substr(fp, 1, 2))::INT AS BIGINT) AS shard, substr(fp, 1, 20) || '0000' AS padded FROM t WHERE generation = 0",
     "j2_previous_writer": f"WITH {_TRACE}, p AS (SELECT *, lag(file_seq) OVER (PARTITION BY fp ORDER BY generation, stream, file_seq, chunk_seq) AS writer FROM t) SELECT generation, stream, count(*) AS known, count(*) FILTER (writer = file_seq) AS same_file FROM p WHERE writer IS NOT NULL GROUP BY generation, stream",
     "a3_fp_frequency": f"WITH {_TRACE} SELECT n, count(*) AS fps FROM (SELECT count(*) AS n FROM t GROUP BY fp) GROUP BY n",
@@ -440,15 +415,12 @@ ORACLE_SQL = {
     "j8_page_lookup": _pages_sql(", e AS (SELECT page, max(fp) AS last_fp FROM p GROUP BY page) SELECT q.fp, coalesce((SELECT min(page) FROM e WHERE last_fp >= q.fp), (SELECT max(page) FROM e)) AS page FROM (SELECT DISTINCT fp FROM t WHERE generation = 1) q"),
     "x6_predictions": f"WITH {_HEADS}, {_FIRST_PAGE} SELECT stream, count(*) FILTER (fp IN (SELECT fp FROM fpg)) AS hits, count(*) FILTER (fp IN (SELECT fp FROM fpg)) / count(*) AS hit_rate, count(*) FILTER (fp IN (SELECT fp FROM fpg)) / (SELECT count(*) FROM fpg) AS utility FROM hd WHERE generation = 1 AND n <= 1000 AND fp <= (SELECT max(fp) FROM fpg) GROUP BY stream",
     "p6_sorted_index": f"WITH {_P6} SELECT * FROM z",
-    "a10_index_ratios": f"WITH {_P6} SELECT generation, CASE WHEN mem_hits + disk_hits + disk_misses = 0 THEN 0.0 ELSE (mem_hits + disk_hits) / (mem_hits + disk_hits + disk_misses) END AS hit_ratio, CASE WHEN disk_hits + disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_hits + disk_misses) END AS disk_hit_ratio, CASE WHEN disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_misses * {ENTRIES}) END AS page_utility FROM z",
-    "p6_sorted_index_streams": f"WITH {_P6_EACH} SELECT * FROM z",
-    "a10_index_ratios_streams": f"WITH {_P6_EACH} SELECT generation, stream, CASE WHEN mem_hits + disk_hits + disk_misses = 0 THEN 0.0 ELSE (mem_hits + disk_hits) / (mem_hits + disk_hits + disk_misses) END AS hit_ratio, CASE WHEN disk_hits + disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_hits + disk_misses) END AS disk_hit_ratio, CASE WHEN disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_misses * {ENTRIES}) END AS page_utility FROM z",
-    "j10_head_merge_pairs": f"WITH {_HEADS}, y AS (SELECT DISTINCT stream, fp FROM hd WHERE generation = 0 AND n <= 100), v AS (SELECT a.stream AS i, b.stream AS j FROM (SELECT DISTINCT stream FROM y) a JOIN (SELECT DISTINCT stream FROM y) b ON a.stream < b.stream), z AS (SELECT DISTINCT i, j, fp FROM v JOIN y ON y.stream IN (i, j)) SELECT i, j, fp FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY fp) AS rn FROM z) WHERE rn <= 100",
+    "a10_index_ratios": f"WITH {_P6} SELECT generation, stream, CASE WHEN mem_hits + disk_hits + disk_misses = 0 THEN 0.0 ELSE (mem_hits + disk_hits) / (mem_hits + disk_hits + disk_misses) END AS hit_ratio, CASE WHEN disk_hits + disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_hits + disk_misses) END AS disk_hit_ratio, CASE WHEN disk_misses = 0 THEN 0.0 ELSE disk_hits / (disk_misses * {ENTRIES}) END AS page_utility FROM z",
+    "j10_head_merge": f"WITH {_HEADS}, y AS (SELECT DISTINCT stream, fp FROM hd WHERE generation = 0 AND n <= 100), v AS (SELECT a.stream AS i, b.stream AS j FROM (SELECT DISTINCT stream FROM y) a JOIN (SELECT DISTINCT stream FROM y) b ON a.stream < b.stream), z AS (SELECT DISTINCT i, j, fp FROM v JOIN y ON y.stream IN (i, j)) SELECT i, j, fp FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY fp) AS rn FROM z) WHERE rn <= 100",
     "p8_merge_pages": f"WITH {_MERGE} SELECT * FROM m",
     "a11_page_utility": f"WITH {_MERGE}, kn AS (SELECT generation, count(DISTINCT t.fp) AS known FROM t JOIN d ON d.fp = t.fp WHERE since < generation GROUP BY generation) SELECT m.generation, known / {ENTRIES} / pages_touched AS page_utility FROM m JOIN kn ON kn.generation = m.generation",
     "p9_page_usage": f"WITH {_PAGES}, o AS (SELECT stream, row_number() OVER (ORDER BY md5(stream || '|42')) AS rn FROM (SELECT DISTINCT stream FROM t)), e AS (SELECT page, max(fp) AS last_fp FROM pg WHERE g = 2 GROUP BY page), q AS (SELECT DISTINCT stream, fp FROM t WHERE generation = 2), l AS (SELECT fp, coalesce((SELECT min(page) FROM e WHERE last_fp >= v.fp), (SELECT max(page) FROM e)) AS page FROM (SELECT DISTINCT fp FROM q) v) SELECT s.rn AS clients, count(DISTINCT page) AS pages FROM o s JOIN o ON o.rn <= s.rn JOIN q ON q.stream = o.stream JOIN l ON l.fp = q.fp WHERE s.rn = 1 OR s.rn % 5 = 0 GROUP BY s.rn",
     "x5_page_utility": f"WITH {_HEADS}, y AS (SELECT DISTINCT stream, fp FROM hd WHERE generation = 0 AND n <= 100), v AS (SELECT a.stream AS i, b.stream AS j FROM (SELECT DISTINCT stream FROM y) a, (SELECT DISTINCT stream FROM y) b WHERE a.stream <> b.stream), z AS (SELECT i, j, fp, max((y.stream = i)::INT) AS mine FROM v JOIN y ON y.stream IN (i, j) GROUP BY ALL) SELECT i, j, sum(mine) / count(*) AS utility FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY fp) AS rn FROM z) WHERE rn <= 20 GROUP BY i, j",
-    "j10_head_merge": f"WITH {_HEADS} SELECT DISTINCT fp FROM hd WHERE generation = 0 AND n <= 100 AND stream IN ('src0', 'src1') ORDER BY fp LIMIT 100",
     "j5_candidates": f"WITH {_CANDIDATES} SELECT sid, candidate, count(*) AS hooks FROM c GROUP BY ALL",
     "o9_recent_segments": f"WITH {_CANDIDATES} SELECT * FROM c",
     "o8_champions_one": f"WITH {_CHAMPIONS} SELECT * FROM b",

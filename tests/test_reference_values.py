@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chunklens.functions import fingerprint as fx
 from chunklens.operators import segments, sortedindex
-from chunklens.plans.simulate import BlockRun, ContainerRun, Lru, merge_rounds, run, trace_groups
+from chunklens.plans.simulate import FIELDS, BlockRun, ContainerRun, Lru, merge_rounds, run, trace_groups
 from chunklens.sources import formats, sinks
 from chunklens.sources.trace import data_set, host, trace_files
 from chunklens.streaming.first_seen import GenerationSink, first_seen
@@ -96,6 +96,32 @@ def test_distinct_chunks_are_unique_and_then_redundant(spark, make):
     assert (found[0].unique_chunks, found[0].redundant_chunks) == (1000, 0) and (found[1].unique_chunks, found[1].redundant_chunks) == (0, 1000)
 
 
+def test_sampled_block_runs_remember_chunks_that_are_no_hooks_only_on_misses():
+    """A new chunk that the caches find is not in the index: when they have lost it, it counts as new, not as undetected."""
+    state, n = BlockRun(40, 4, 1, 0, False, page=1), dict.fromkeys(FIELDS, 0)
+    state.chunk("s", 1, 20, False, False, n)
+    state.chunk("s", 2, 20, False, False, n)  # fills the block, and is found in it
+    assert 1 in state.index and (2 in state.index) == (n["unique_chunks"] == 2)
+    found = n["unique_chunks"]
+    state.streams["s"]["where"].clear()
+    state.streams["s"]["cached"].clear()
+    state.streams["s"]["mapping"], state.blocks = set(), {}
+    state.chunk("s", 2, 5, False, False, n)
+    assert (n["undetected"], n["unique_chunks"]) == ((1, found) if found == 2 else (0, found + 1))
+
+
+def test_counters_of_container_runs(spark):
+    """Each chunk goes one way: a negative filter, one of the caches, or an index look-up."""
+    pick = random.Random(9)
+    rows = [(g, s, f"{pick.randrange(90):024x}", pick.randrange(1, 50)) for g in range(3) for s in "ab" for _ in range(80)]
+    own = run(trace(spark, rows), {"x": lambda: ContainerRun(200, 2, 4, True)}, false_positive=0.3).collect()
+    for r in own:
+        negative = r.unique_chunks + r.redundant_chunks - r.chain_runs
+        assert r.chain_runs == r.current_container_hits + r.chunk_cache_hits + r.open_container_hits + r.cache_hits + r.lookups
+        assert negative + r.false_positives == r.unique_chunks == r.index_updates and r.fetches + r.false_positives == r.lookups
+    assert sum(r.false_positives for r in own) > 0 and sum(r.open_container_hits for r in own) > 0
+
+
 def test_equal_chunks_hit_the_open_block(spark):
     found = run(trace(spark, [(0, "s", "ab" * 12, 20)] * 10), {"x": lambda: BlockRun(262_144, 4, 2048, 0, False)}).first()
     assert (found.unique_chunks, found.write_cache_hits) == (1, 9)
