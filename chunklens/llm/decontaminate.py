@@ -190,8 +190,11 @@ def find_phrases(index: DataFrame, items: DataFrame, size: int = 13) -> DataFram
 
 
 def find_near(index: DataFrame, terms: list[str], width: int) -> DataFrame:
-    """(doc_id) of the documents that have all terms within `width` consecutive words of their text."""
-    hashes = np.concatenate([x[0][:, 0] for n, x in _windows(terms, list(range(len(terms))), 1).items()]) if terms else np.zeros(0, _U)
+    """(doc_id) of the documents that have all terms within `width` consecutive words of their text. A term of several
+    words counts as each of them; one without a word is left out, and if none is left there are no rows. Rows of a
+    repeated doc_id are documents of their own, a null one stays null; null and empty texts have no words."""
+    found = _windows(terms, list(range(len(terms))), 1)
+    hashes = found[1][0][:, 0] if found else np.zeros(0, _U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,8 +34,9 @@ FEATURES = {
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each row of docs(doc_id, text, ...); a null or empty text has zeros.
 
-    Words of a text with 3-word windows found twice are counted from the sorted window hashes: the low bits of each
-    hash give way to its position, neighbours with equal high bits are compared on the whole hash, and the found
+    Words of a text with 3-word windows found twice are counted from the sorted window hashes. In texts of less than
+    65 536 words the low 16 bits of each hash give way to its position and neighbours are compared; if any have equal
+    high bits and different hashes, and in longer texts, whole hashes are sorted with their positions. The found
     positions, sorted again, give the covered words. Write the result before filtering it: the optimizer would copy
     these expressions into a filter.
     """
@@ -64,18 +65,28 @@ def statistics(docs: DataFrame) -> DataFrame:
         ),
     )
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_distinct"]
-    four = three.select(*counts, "grams", F.expr("case when size(grams) < 65536 then 16 when size(grams) < 16777216 then 24 else 31 end as bits"), F.expr("size(array_distinct(grams)) < size(grams) as again"))
+    four = three.select(*counts, "grams", F.expr("size(array_distinct(grams)) < size(grams) as again"))
     five = four.select(
         *counts,
         "grams",
-        "bits",
-        F.expr("if(again, sort_array(transform(grams, (h, i) -> shiftleft(shiftright(h, bits), bits) | cast(i as bigint))), cast(array() as array<bigint>)) as keys"),
-        F.expr("shiftleft(1L, bits) - 1L as low"),
+        "again",
+        F.expr("if(again and size(grams) < 65536, sort_array(transform(grams, (h, i) -> shiftleft(shiftright(h, 16), 16) | cast(i as bigint))), cast(array() as array<bigint>)) as keys"),
     )
-    same = "shiftright(x, bits) = shiftright(keys[{0}], bits) and grams[cast(x & low as int)] = grams[cast(keys[{0}] & low as int)]"
-    six = five.select(
+    near, same = "shiftright(x, 16) = shiftright(keys[{0}], 16)", "grams[cast(x & 65535L as int)] = grams[cast(keys[{0}] & 65535L as int)]"
+    before, after = "greatest(i - 1, 0)", "least(i + 1, size(keys) - 1)"
+    unlike = f"exists(transform(keys, (x, i) -> {near.format(before)} and not ({same.format(before)})), y -> y)"
+    pairs = five.select(
         *counts,
-        F.expr(f"sort_array(transform(filter(keys, (x, i) -> (i > 0 and {same.format('greatest(i - 1, 0)')}) or (i < size(keys) - 1 and {same.format('least(i + 1, size(keys) - 1)')})), x -> cast(x & low as int))) as found"),
+        "grams",
+        "keys",
+        F.expr(f"if(again and (size(grams) >= 65536 or {unlike}), sort_array(transform(grams, (h, i) -> struct(h, i))), cast(array() as array<struct<h:bigint,i:int>>)) as pairs"),
+    )
+    whole = "(i > 0 and x.h = pairs[greatest(i - 1, 0)].h) or (i < size(pairs) - 1 and x.h = pairs[least(i + 1, size(pairs) - 1)].h)"
+    short = " or ".join(f"({edge} and {near.format(at)} and {same.format(at)})" for edge, at in (("i > 0", before), ("i < size(keys) - 1", after)))
+    six = pairs.select(
+        *counts,
+        F.expr(f"""sort_array(if(size(pairs) > 0, transform(filter(pairs, (x, i) -> {whole}), x -> x.i),
+            transform(filter(keys, (x, i) -> {short}), x -> cast(x & 65535L as int)))) as found"""),
     )
     return six.select(*counts, F.expr("cast(aggregate(found, struct(0 as n, -3 as at), (a, x) -> struct(a.n + least(3, x - a.at) as n, x as at)).n as bigint) as n_repeat_words"))
 
@@ -149,7 +160,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, min_
     """(doc_id, statistics, base_failed, rule, kept) of each row of docs(doc_id, text, ...).
 
     labels(doc_id, quality: 1 good, 0 low, ...); the list is learned from the `sample` labelled ids of the least hash
-    (so few at most are sent to the tasks and collected). base_failed: fewer than min_words words, or more than
+    (so few at most are sent to the tasks and collected, of rows of one id the least). base_failed: fewer than min_words words, or more than
     repeat_percent percent of them in repeated 3-word windows. rule is the first learned rule that holds, 0 if none;
     kept: neither. Rows with null doc_id or quality are not learned from; an empty labels table gives no rules.
     """
@@ -159,7 +170,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, min_
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    rows = stats.join(F.broadcast(chosen), "doc_id").select(*(F.expr(e).alias(f) for f, e in FEATURES.items()), F.expr("cast(quality = 0 as int) as low"), F.expr("cast(pmod(xxhash64(doc_id, 7), 3) as int) as fold"))
+    rows = stats.join(F.broadcast(chosen), "doc_id").select("doc_id", *(F.expr(e).alias(f) for f, e in FEATURES.items()), F.expr("cast(quality = 0 as int) as low"), F.expr("cast(pmod(xxhash64(doc_id, 7), 3) as int) as fold"))
+    # One row of each id, the least, however often an id is repeated.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*FEATURES, "low", "fold")).alias("x")).select("x.*")
     rules = learn([r.asDict() for r in rows.collect()])
     failed = F.expr(f"n_words < {int(min_words)} or 100 * n_repeat_words > {int(repeat_percent)} * n_words")
     return stats.withColumn("base_failed", failed).withColumn("rule", expression(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -131,7 +131,14 @@ def test_test_items_in_blocks_count_words_once(spark, monkeypatch):
 def test_proximity(spark):
     index = build_index(table(spark, [(1, "a x x b"), (2, "a x x x b"), (3, "b a"), (4, "a"), (5, "b")]))
     assert sorted(r.doc_id for r in find_near(index, ["A", "b"], 4).collect()) == [1, 3]
-    assert find_near(index, ["a", "zzz"], 4).count() == 0
+    assert find_near(index, ["a", "zzz"], 4).count() == 0 and find_near(index, [" -", ""], 4).count() == 0 and find_near(index, [], 4).count() == 0
+    assert sorted(r.doc_id for r in find_near(index, ["A b", "!"], 4).collect()) == [1, 3]
+    # Long words that a polynomial modulo a power of two could not tell apart.
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    odd_words = contamination(table(spark, [(1, one), (2, two)]), spark.createDataFrame([(7, one)], "item_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in odd_words} == {1: 1, 2: 0}
 
 
 def test_personal_data(spark, odd):
