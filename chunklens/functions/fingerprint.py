@@ -68,3 +68,8 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def shard(fp: Column, shards: int = 256) -> Column:
     return _hex(F.substring(fp, 1, 2)) % shards
+
+
+def wide_shard(fp: Column, shards: int = 1024) -> Column:
+    """The first eight bytes as a little-endian number, modulo shards: a power of two up to 65 536, so that two count."""
+    return _hex(F.concat(F.substring(fp, 3, 2), F.substring(fp, 1, 2))) % shards

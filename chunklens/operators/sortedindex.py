@@ -122,6 +122,39 @@ def stream_index_stats(trace: DataFrame, entries: int) -> DataFrame:
     return total.select("generation", "stream", "chunks", "unique_chunks", "redundant_chunks", "consecutive", F.lit(0).cast("bigint").alias("mem_hits"), (F.col("touched") - F.col("disk_misses")).alias("disk_hits"), "disk_misses")
 
 
+def group_index_stats(trace: DataFrame, entries: int) -> DataFrame:
+    """Statistics of trace(generation, stream, fp, index) on indexes that several streams share, with a flush at the end of
+    each generation and no false positives.
+
+    A generation's streams run one after the other by name, each in order of fingerprints and from page 0. What a stream
+    before it in the generation has added is found in memory; pages ascend, so that each but page 0 is missed once. A
+    fingerprint of zeros equals the one a stream starts with: it is consecutive and never added.
+    """
+    own = trace.groupBy("index", "generation", "stream", "fp").agg(F.count("*").alias("n")).withColumn("zero", F.col("fp") == "0" * 24)
+    # One row for each file that has the fingerprint, so the partitions are bounded by the number of trace files.
+    rows = own.withColumn("first", F.min(F.struct("generation", "stream")).over(Window.partitionBy("index", "fp")))
+    rows = rows.withColumn("is_new", ~F.col("zero") & (F.col("first") == F.struct("generation", "stream")))
+    steps = own.select(F.col("index").alias("of"), F.col("generation").alias("g")).distinct()
+    added = rows.where("is_new").select("index", "fp", F.col("generation").alias("since"))
+    have = added.join(steps, (F.col("index") == F.col("of")) & (F.col("since") < F.col("g"))).select("index", F.col("g").alias("generation"), "fp", F.substring("fp", 1, 4).alias("range"))
+    sizes = have.groupBy("index", "generation", "range").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("index", "generation").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("index", "generation", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    local = have.withColumn("local", F.row_number().over(Window.partitionBy("index", "generation", "range").orderBy("fp")) - 1)
+    pages = local.join(sizes, ["index", "generation", "range"]).select("index", "generation", "fp", F.floor((F.col("local") + F.col("before")) / entries).cast("bigint").alias("page"))
+    found = rows.join(pages, ["index", "generation", "fp"], "left")
+    count = lambda c: F.sum(c.cast("bigint"))
+    by_page = found.groupBy("index", "generation", "stream", "page").agg(
+        F.sum("n").alias("chunks"), count(F.col("is_new")).alias("unique_chunks"), F.sum(F.col("n") - 1 + F.col("zero").cast("bigint")).alias("consecutive"),
+        count(~F.col("zero") & ~F.col("is_new") & F.col("page").isNull()).alias("mem_hits"), F.count("page").alias("touched"),
+    )
+    total = by_page.groupBy("index", "generation", "stream").agg(*[F.sum(c).alias(c) for c in ("chunks", "unique_chunks", "consecutive", "mem_hits", "touched")], F.count_if(F.col("page") > 0).alias("disk_misses"))
+    return total.select(
+        "index", "generation", "stream", "chunks", "unique_chunks", (F.col("chunks") - F.col("unique_chunks")).alias("redundant_chunks"), "consecutive", "mem_hits",
+        (F.col("touched") - F.col("disk_misses")).alias("disk_hits"), "disk_misses",
+    )
+
+
 def merge_pages(trace: DataFrame, entries: int) -> DataFrame:
     """Per generation: the pages that a shared scan of all streams must touch, of the index of earlier generations.
 

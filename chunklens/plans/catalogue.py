@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chunklens.functions import fingerprint as fx
 from chunklens.operators import dedup, segments, sortedindex
-from chunklens.plans import simulate
-from chunklens.sources.trace import ORDER, backup_trace, event_trace, lineitem_trace, sorted_trace
+from chunklens.plans import similarity, simulate
+from chunklens.sources import formats
+from chunklens.sources.trace import ORDER, backup_trace, event_trace, late_trace, lineitem_trace, listed, sorted_trace
 
 #: The configuration of the queries, scaled to the trace's mean chunk of 264 bytes.
 DIVISOR, FACTOR, ENTRIES, CONTAINER, BLOCK, SEGMENT, MOST, WINDOW, LRU = 16, 4, 10, 16_384, 8_192, 4_224, 2, 3, 20
@@ -48,6 +49,50 @@ def _candidates(spark, d):
     return segments.recent_segments(segments.numbered(_segments(spark, d), FACTOR), MOST)
 
 
+def _trace_files(spark, d, kind, folder):
+    """A trace file of each file of a generation, encoded and parsed again."""
+    chunks = F.array_sort(F.collect_list(F.struct("chunk_seq", F.concat("fp", F.lit("00ff")).alias("digest"), "size")))
+    files = backup_trace(spark, d).groupBy("generation", "stream", "filename").agg(chunks.alias("chunks"))
+    path = F.concat_ws("/", F.lit(folder), "generation", "stream", "filename")
+    parsed = formats.parse(formats.encode(files.select(path.alias("path"), "filename", "chunks"), kind))
+    return parsed if kind == "legacy" else formats.assemble(parsed)
+
+
+def _file_digest(rows, *by):
+    own = rows.groupBy("path", "filename", *by).agg(F.count("chunk_seq").alias("chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.array_sort(F.collect_list(F.struct("chunk_seq", "fp"))).alias("x"))
+    hashed = F.md5(F.array_join(F.transform("x", lambda x: x["fp"]), "", "")).alias("hash")
+    return own.select(F.split("path", "/")[1].cast("int").alias("generation"), F.split("path", "/")[2].alias("stream"), "filename", *by, "chunks", "bytes", hashed)
+
+
+def s5_s6_s8_trace_files(spark, d):
+    """Every file as a partial and a whole message, encoded, parsed and joined again; chunk_count is that of the last part."""
+    return _file_digest(_trace_files(spark, d, "pb", "pb"), "chunk_count")
+
+
+def s7_legacy_trace_files(spark, d):
+    """Every file in the legacy format; a chunk of 64 KB or more ends its chunks."""
+    return _file_digest(_trace_files(spark, d, "legacy", "imt").withColumn("fp", fx.truncate(F.col("digest"))))
+
+
+def s1_s9_listing(spark, d):
+    """Trace files by their names: of several hosts, and of a data set whose generations run backwards."""
+    t = backup_trace(spark, d).select("generation", "stream").distinct()
+    several = t.select(F.concat(F.lit("in/gen_"), F.col("generation") * 7 + 3, F.lit("_"), "stream", F.lit("-cdc8")).alias("path"))
+    one = t.select(F.concat(F.lit("in/ma1_w"), F.col("generation") + 8, F.lit("_r1-cdc8")).alias("path")).distinct()
+    both = [listed(files, dataset).withColumn("dataset", F.lit(dataset)) for files, dataset in ((several.union(one), "multi"), (one.union(several), "jgu4"))]
+    return both[0].unionByName(both[1]).select("dataset", "name", "id", F.col("generation").cast("int").alias("generation"), "stream")
+
+
+def p7_one_index(spark, d):
+    """Streams that begin late, on one index that all share, as any utility is enough."""
+    return similarity.similarity_index_stats(late_trace(spark, d), ENTRIES, 0.0)
+
+
+def p7_similarity_index(spark, d):
+    """The same streams on the indexes of similar ones; a new index for each group that none suits."""
+    return similarity.similarity_index_stats(late_trace(spark, d), ENTRIES, 0.2)
+
+
 def f2_hook_sample(spark, d):
     return backup_trace(spark, d).where(fx.is_hook(F.col("fp"), FACTOR)).groupBy("generation").agg(F.count("*").alias("hooks"), F.count_distinct("fp").alias("distinct_hooks"))
 
@@ -80,7 +125,7 @@ def f9_f17_scalars(spark, d):
     return t.select(
         "file_seq", "chunk_seq", fx.page_of_position(F.col("file_seq"), 240).alias("position_page"), fx.page_of_unit(F.col("file_seq"), 4096, CONTAINER, 1024).alias("container_page"),
         fx.round_up(F.col("size"), 4096).alias("rounded"), fx.segment_bytes(F.col("size")).alias("segment_bytes"), fx.block_distance(F.col("chunk_seq").cast("bigint"), F.col("file_seq")).alias("distance"),
-        fx.shard(F.col("fp")).alias("shard"), fx.truncate(F.substring("fp", 1, 20)).alias("padded"),
+        fx.shard(F.col("fp")).alias("shard"), fx.wide_shard(F.col("fp")).alias("wide_shard"), fx.truncate(F.substring("fp", 1, 20)).alias("padded"),
     )
 
 
@@ -340,6 +385,7 @@ QUERIES = {
     "p6_sorted_index": p6_sorted_index, "a10_index_ratios": a10_index_ratios, "p8_merge_pages": p8_merge_pages, "a11_page_utility": a11_page_utility, "p9_page_usage": p9_page_usage,
     "x5_page_utility": x5_page_utility, "j10_head_merge": j10_head_merge,
     "j5_candidates": j5_candidates, "o9_recent_segments": o9_recent_segments, "o8_champions_one": o8_champions_one, "p5_sparse_m1": p5_sparse_m1, "p5_sparse_full": p5_sparse_full, "t8_champion_io": t8_champion_io,
+    "s5_s6_s8_trace_files": s5_s6_s8_trace_files, "s7_legacy_trace_files": s7_legacy_trace_files, "s1_s9_listing": s1_s9_listing, "p7_one_index": p7_one_index, "p7_similarity_index": p7_similarity_index,
     "event_first_seen": event_first_seen, "lineitem_fp_frequency": lineitem_fp_frequency,
     **simulate.QUERIES,
 }
@@ -386,7 +432,7 @@ ORACLE_SQL = {
     "f4_bloom_positives": f"WITH {_TRACE}, o AS (SELECT DISTINCT generation, fp, min(generation) OVER (PARTITION BY fp) < generation AS known FROM t) SELECT generation, count(*) FILTER (known) AS known, count(*) FILTER (known OR ('0x' || substr(md5(fp || '|7'), 1, 12))::BIGINT / 281474976710656.0 < 0.25) AS positive FROM o GROUP BY generation",
     "f5_consecutive_dups": f"WITH {_SORTED} SELECT generation, stream, count(*) FILTER (c) AS consecutive FROM (SELECT *, fp = lag(fp, 1, repeat('0', 24)) OVER (PARTITION BY stream ORDER BY generation, pos) AS c FROM s) GROUP BY generation, stream",
     "f6_file_hash": f"WITH {_TRACE} SELECT generation, filename, md5(string_agg(fp, '' ORDER BY chunk_seq)) AS hash FROM t GROUP BY generation, filename",
-    "f9_f17_scalars": f"WITH {_TRACE} SELECT file_seq, chunk_seq, file_seq // 10 AS position_page, file_seq // (4096 // (({CONTAINER} // 1024) * 24)) AS container_page, CAST(ceil(size / 4096) * 4096 AS BIGINT) AS rounded, 24 + 20 * size AS segment_bytes, CASE WHEN chunk_seq < file_seq THEN chunk_seq - file_seq + 4294967296 ELSE chunk_seq - file_seq END AS distance, CAST(('0x' || substr(fp, 1, 2))::INT AS BIGINT) AS shard, substr(fp, 1, 20) || '0000' AS padded FROM t WHERE generation = 0",
+    "f9_f17_scalars": f"WITH {_TRACE} SELECT file_seq, chunk_seq, file_seq // 10 AS position_page, file_seq // (4096 // (({CONTAINER} // 1024) * 24)) AS container_page, CAST(ceil(size / 4096) * 4096 AS BIGINT) AS rounded, 24 + 20 * size AS segment_bytes, CASE WHEN chunk_seq < file_seq THEN chunk_seq - file_seq + 4294967296 ELSE chunk_seq - file_seq END AS distance, CAST(('0x' || substr(fp, 1, 2))::INT AS BIGINT) AS shard, CAST(('0x' || substr(fp, 15, 2) || substr(fp, 13, 2) || substr(fp, 11, 2) || substr(fp, 9, 2) || substr(fp, 7, 2) || substr(fp, 5, 2) || substr(fp, 3, 2) || substr(fp, 1, 2))::UBIGINT % 1024 AS BIGINT) AS wide_shard, substr(fp, 1, 20) || '0000' AS padded FROM t WHERE generation = 0",
     "j2_previous_writer": f"WITH {_TRACE}, p AS (SELECT *, lag(file_seq) OVER (PARTITION BY fp ORDER BY generation, stream, file_seq, chunk_seq) AS writer FROM t) SELECT generation, stream, count(*) AS known, count(*) FILTER (writer = file_seq) AS same_file FROM p WHERE writer IS NOT NULL GROUP BY generation, stream",
     "a3_fp_frequency": f"WITH {_TRACE} SELECT n, count(*) AS fps FROM (SELECT count(*) AS n FROM t GROUP BY fp) GROUP BY n",
     "a5_usage_histogram": f"WITH {_USAGE} SELECT generation, k, count(*) AS fps, count(*) / sum(count(*)) OVER (PARTITION BY generation) AS share FROM u GROUP BY generation, k",
@@ -425,6 +471,15 @@ ORACLE_SQL = {
     "o9_recent_segments": f"WITH {_CANDIDATES} SELECT * FROM c",
     "o8_champions_one": f"WITH {_CHAMPIONS} SELECT * FROM b",
     "p5_sparse_m1": f"WITH {_CHAMPIONS}, {_FIRST}, i AS (SELECT DISTINCT generation, stream, seg, sid FROM h), x AS (SELECT g.generation, g.stream, g.fp, f.rn, sid FROM g JOIN f ON f.generation = g.generation AND f.stream = g.stream AND f.file_seq = g.file_seq AND f.chunk_seq = g.chunk_seq LEFT JOIN i ON i.generation = g.generation AND i.stream = g.stream AND i.seg = g.seg), v AS (SELECT DISTINCT sid, fp FROM x WHERE sid IS NOT NULL), w AS (SELECT b.sid, v.fp FROM b JOIN v ON v.sid = b.champion), y AS (SELECT x.*, w.fp IS NOT NULL AS hit FROM x LEFT JOIN w ON w.sid = x.sid AND w.fp = x.fp) SELECT generation, stream, count(*) AS chunks, count(*) FILTER (hit) AS detected, count(*) FILTER (NOT hit AND rn = 1) AS unique_chunks, count(*) FILTER (NOT hit AND rn > 1) AS undetected FROM y GROUP BY generation, stream",
+    "s5_s6_s8_trace_files": f"WITH {_TRACE} SELECT generation, stream, filename, count(*) - count(*) // 2 AS chunk_count, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS bytes, md5(string_agg(fp, '' ORDER BY chunk_seq)) AS hash FROM t GROUP BY ALL",
+    "s7_legacy_trace_files": f"WITH {_TRACE}, e AS (SELECT *, coalesce(min(CASE WHEN size >= 65536 THEN chunk_seq END) OVER (PARTITION BY generation, stream, filename) > chunk_seq, true) AS ok FROM t) SELECT generation, stream, filename, count(*) FILTER (ok) AS chunks, CAST(coalesce(sum(size) FILTER (ok), 0) AS BIGINT) AS bytes, md5(coalesce(string_agg(fp, '' ORDER BY chunk_seq) FILTER (ok), '')) AS hash FROM e GROUP BY ALL",
+    "s1_s9_listing": f"WITH {_TRACE}, x AS (SELECT DISTINCT generation, stream FROM t) SELECT 'multi' AS dataset, 'gen_' || (generation * 7 + 3) || '_' || stream || '-cdc8' AS name, generation * 7 + 3 AS id, generation, stream FROM x UNION ALL SELECT DISTINCT 'jgu4', 'ma1_w' || (generation + 8) || '_r1-cdc8', generation + 8, (SELECT max(generation) FROM x) - generation, 'host0' FROM x",
+    "p7_one_index": f"""WITH {_TRACE}, l AS (SELECT generation + ('0x' || substr(md5(stream), 1, 2))::INT % 3 AS generation, stream, fp FROM t), o AS (SELECT generation, stream, fp, count(*) AS n FROM l GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY generation, stream) = 1 AS is_new, min(generation) OVER (PARTITION BY fp) AS since FROM o),
+pg AS (SELECT g, fp, (row_number() OVER (PARTITION BY g ORDER BY fp) - 1) // {ENTRIES} AS page FROM (SELECT fp, since FROM r WHERE is_new) JOIN (SELECT DISTINCT generation AS g FROM l) ON since < g),
+b AS (SELECT r.*, page FROM r LEFT JOIN pg ON g = generation AND pg.fp = r.fp)
+SELECT CAST(0 AS BIGINT) AS index, CAST(generation AS INTEGER) AS generation, stream, CAST(sum(n) AS BIGINT) AS chunks, count(*) FILTER (is_new) AS unique_chunks, CAST(sum(n) AS BIGINT) - count(*) FILTER (is_new) AS redundant_chunks, CAST(sum(n - 1) AS BIGINT) AS consecutive,
+  count(*) FILTER (NOT is_new AND page IS NULL) AS mem_hits, count(page) - count(DISTINCT page) FILTER (page > 0) AS disk_hits, count(DISTINCT page) FILTER (page > 0) AS disk_misses FROM b GROUP BY ALL""",
     "event_first_seen": "WITH t AS (SELECT CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS INTEGER) AS generation, event_type AS stream, event_id, substr(md5(user_id || '|' || coalesce(props, '')), 1, 24) AS fp FROM events), x AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY event_id) AS rn FROM t) SELECT generation, stream, count(*) AS new FROM x WHERE rn = 1 GROUP BY ALL",
     "lineitem_fp_frequency": "WITH t AS (SELECT l_returnflag || l_linestatus AS stream, substr(md5(l_partkey || '|' || CAST(l_quantity AS INTEGER)), 1, 24) AS fp FROM lineitem), x AS (SELECT fp, count(*) AS n, count(DISTINCT stream) AS k FROM t GROUP BY fp) SELECT n, k, count(*) AS fps FROM x GROUP BY ALL",
     **{k: f"WITH {_TRACE}, {_FIRST} SELECT generation, stream, count(*) FILTER (rn = 1) AS unique_chunks, count(*) FILTER (rn > 1) AS redundant_chunks FROM f GROUP BY ALL" for k in simulate.STRICT},

@@ -70,6 +70,12 @@ def encode_entry(filename: str, chunks: list[tuple[bytes, int]], size: int = 0,
     return encode_message({1: filename, 2: size, 3: kind, 4: len(chunks), 5: label, 6: int(partial)}) + b"".join(encode_message({2: d, 3: n}) for d, n in chunks)
 
 
+def encode_legacy(filename: str, chunks: list[tuple[bytes, int]], size: int = 0, kind: str = "") -> bytes:
+    """A text header, a record for each chunk (sizes under 2 ** 32, digests cut or padded to 20 bytes), and the end mark."""
+    records = b"".join(b"\x18" + n.to_bytes(4, "little") + d[:20].ljust(20, b"\0") for d, n in chunks)
+    return "\t".join([filename, str(size), *([kind] if kind else [])]).encode() + b"\n" + records + b"0\n"
+
+
 def read_pb(path: str, data: bytes) -> Iterator[tuple]:
     """Length-delimited file messages, each with as many chunk messages as it says, to the end."""
     at = entry = 0
@@ -163,17 +169,39 @@ def parse(files: DataFrame) -> DataFrame:
     """Rows of files(path, content) of the binaryFile source; a path with a folder named imt is read as legacy."""
 
     def run(batches):
+        import itertools
+
         import pandas as pd
 
+        columns = [c.split()[0] for c in SCHEMA.split(", ")]
         for rows in batches:
-            for path, content in zip(rows["path"], rows["content"], strict=True):
-                kind = "legacy" if "imt" in path.split("/") else "pb"
-                out = list(PARSERS[kind](path, bytes(content)))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"chunk_seq": "Int32", "size": "Int64"})
+            found = itertools.chain.from_iterable(PARSERS["legacy" if "imt" in path.split("/") else "pb"](path, bytes(content)) for path, content in zip(rows["path"], rows["content"], strict=True))
+            while out := list(itertools.islice(found, 20_000)):  # rows of many small files or a part of a large one
+                yield pd.DataFrame(out, columns=columns).astype({"chunk_seq": "Int32", "size": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def encode(files: DataFrame, kind: str) -> DataFrame:
+    """(path, content) of files(path, filename, chunks: array of (digest as hex, size)), a trace file for each row.
+
+    pb: the first half of the chunks goes into a partial message, the rest into the whole one that follows.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for rows in batches:
+            contents = []
+            for name, found in zip(rows["filename"], rows["chunks"], strict=True):
+                chunks = [(bytes.fromhex(c["digest"]), int(c["size"])) for c in found]
+                half = len(chunks) // 2
+                contents.append(encode_legacy(name, chunks) if kind == "legacy" else encode_entry(name, chunks[:half], partial=True) + encode_entry(name, chunks[half:]))
+            yield pd.DataFrame({"path": rows["path"], "content": contents})
+
+    return files.select("path", "filename", "chunks").mapInPandas(run, "path string, content binary")
+
+
 def assemble(rows: DataFrame) -> DataFrame:
     """Partial messages of a file name joined with the first whole one that follows: (path, entry, filename, chunk_count,
     chunk_seq, fp, size), chunk_count that of the last part."""

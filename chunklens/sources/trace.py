@@ -24,6 +24,11 @@ def backup_trace(spark: SparkSession, sf_dir: str, generations: int = 4) -> Data
     )
 
 
+def late_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """backup_trace with streams that begin up to two generations later, by a hash of their names."""
+    return backup_trace(spark, sf_dir).withColumn("generation", F.col("generation") + (F.conv(F.substring(F.md5("stream"), 1, 2), 16, 10).cast("int") % 3))
+
+
 def sorted_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """backup_trace with each stream in order of fingerprints: pos is the position in the stream of a generation."""
     from pyspark.sql import Window
@@ -76,13 +81,16 @@ def host(name: str, dataset: str) -> str:
 
 
 def trace_files(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
-    """(path, name, id, generation, stream) of a data set's trace files; equal ids are one generation, numbered from 0;
-    files without bytes are left out, ids are decimal."""
+    """(path, name, id, generation, stream) of a data set's trace files in a folder; files without bytes are left out."""
+    return listed(spark.read.format("binaryFile").load(folder).where("length > 0").select("path"), dataset)
+
+
+def listed(files: DataFrame, dataset: str) -> DataFrame:
+    """trace_files of files(path): those with the data set's pattern; equal ids, decimal, are one generation, from 0."""
     from pyspark.sql import Window
 
     pattern, reverse, _ = data_set(dataset)
-    files = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
-    found = files.where(F.col("name").rlike(pattern)).withColumn("id", F.regexp_extract("name", pattern, 2).cast("int"))
+    found = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name")).where(F.col("name").rlike(pattern)).withColumn("id", F.regexp_extract("name", pattern, 2).cast("int"))
     order = F.col("id").desc() if reverse else F.col("id")
     stream = F.split(F.element_at(F.split("name", "_"), -1), "-")[0] if "multi" in dataset else F.lit("host0")
     # One row a file: the list of files, not the trace, is what this window numbers.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chunklens.functions import fingerprint as fx
 from chunklens.operators import segments, sortedindex
+from chunklens.plans import similarity
 from chunklens.plans.simulate import FIELDS, BlockRun, ContainerRun, Lru, merge_rounds, run, trace_groups
 from chunklens.sources import formats, sinks
 from chunklens.sources.trace import data_set, host, trace_files
@@ -163,6 +164,71 @@ def test_every_stream_has_the_index_of_one(spark):
     assert heads == {(i, j): set(sorted({r[2] for r in rows if r[1] in (i, j)})[:10]) for i in names for j in names if i < j}
 
 
+def index_model(rows, entries, threshold):
+    """Streams on shared indexes, chunk by chunk: {(index, generation, stream): counters}."""
+    out, indexes, made_for, bound = {}, [], [], {}
+
+    def share(own, other):
+        page = sorted(own | other)[:entries]
+        return sum(x in own for x in page) / len(page)
+
+    for g in sorted({r[0] for r in rows}):
+        streams = {s: sorted(r[2] for r in rows if r[:2] == (g, s)) for s in sorted({r[1] for r in rows if r[0] == g})}
+        on, fresh = {}, []
+        for s, fps in streams.items():
+            best = None
+            for i, index in enumerate(indexes):
+                worth = share(set(sorted(index)[:entries]), set(fps)) * made_for[i] / (1 + made_for[i]) / 2
+                if worth >= threshold and (best is None or worth >= best[0]):
+                    best = worth, i
+            if s in bound:
+                on[s] = bound[s]
+            elif best:
+                on[s] = best[1]
+            else:
+                fresh.append(s)
+        groups = trace_groups({(a, b): share(set(streams[a]), set(streams[b])) for a in fresh for b in fresh if a != b}, fresh, threshold) if fresh else []
+        for group in groups:
+            for s in group:
+                on[s] = bound[s] = len(indexes)
+            indexes.append(set())
+            made_for.append(len(group))
+        disk, memory = [sorted(x) for x in indexes], [set() for _ in indexes]
+        for s, fps in streams.items():
+            n, current, last = dict.fromkeys(("chunks", "unique", "consecutive", "memory", "hits", "misses"), 0), 0, "0" * 24
+            for fp in fps:
+                n["chunks"] += 1
+                if fp == last:
+                    n["consecutive"] += 1
+                elif fp in memory[on[s]]:
+                    n["memory"] += 1
+                elif fp in indexes[on[s]]:
+                    page = disk[on[s]].index(fp) // entries
+                    n["hits" if page == current else "misses"] += 1
+                    current = page
+                else:
+                    n["unique"] += 1
+                    memory[on[s]].add(fp)
+                last = fp
+            out[on[s], g, s] = (n["chunks"], n["unique"], n["chunks"] - n["unique"], n["consecutive"], n["memory"], n["hits"], n["misses"])
+        for index, new in zip(indexes, memory, strict=True):
+            index |= new
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.1, 0.25, 1.1])
+def test_similar_streams_share_an_index(spark, threshold):
+    pick = random.Random(8)
+    begin = {"a": 0, "b": 0, "c": 1, "d": 1, "e": 2}
+    rows = [(g, s, f"{pick.randrange(40) + 30 * (i % 2):024x}") for i, (s, at) in enumerate(begin.items()) for g in range(at, 4) for _ in range(25)]
+    found = similarity.similarity_index_stats(spark.createDataFrame(rows, "generation int, stream string, fp string"), 4, threshold).collect()
+    want = index_model(rows, 4, threshold)
+    assert {tuple(r[:3]): tuple(r[3:]) for r in found} == want and len(found) == len(want)
+    assert len({r[0] for r in found}) == {0.0: 1, 1.1: len({s for s in begin})}.get(threshold, len({k[0] for k in want}))
+    empty = spark.createDataFrame([], "generation int, stream string, fp string")
+    assert similarity.similarity_index_stats(empty, 4, threshold).isEmpty()
+
+
 def test_containers_and_blocks(spark):
     t = trace(spark, [(0, "s", f"{i:024x}", n) for i, n in enumerate([60, 50, 40, 200, 10])])
     assert [r.container for r in segments.containers(t, 100).orderBy("chunk_seq").collect()] == [1, 2, 2, 3, 4]
