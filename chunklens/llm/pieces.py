@@ -1,13 +1,17 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The automaton reports, at each position, the pieces that end there (it follows the output links); each relaxes the best
-score of its end from that of its start. A character that no piece covers costs more than any piece and becomes its
-UTF-8 bytes. Runs of text that no piece can cross (a space run and what follows up to the next space or line break) are
-encoded apart and remembered, up to a bound.
+score of its end from that of its start. Where scores are logarithms of probabilities (a unigram vocabulary) they add
+up. Where they are ranks of merges (a BPE vocabulary) a link between two pieces scores nothing if merging their text
+gives just these two again, and minus infinity otherwise: of the paths to a position exactly one then has a score, the
+one that merging makes. A character that no piece covers costs more than any piece and becomes its UTF-8 bytes. Runs of
+text that no piece can cross (a space run and what follows up to the next space or line break) are encoded apart and
+remembered, up to a bound.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -47,9 +51,12 @@ class _Memo(dict):
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary. Text is taken as it is (no normalisation); a space is put before it."""
+    """Encoder and decoder for one vocabulary. Text is taken as it is (no normalisation); a space is put before it.
 
-    def __init__(self, vocabulary: list[tuple[str, float, str]], memory: int = 500_000) -> None:
+    merges: scores are ranks of merges; None takes them so if they differ and are whole numbers.
+    """
+
+    def __init__(self, vocabulary: list[tuple[str, float, str]], memory: int = 500_000, merges: bool | None = None) -> None:
         normal = [(i, p, s) for i, (p, s, kind) in enumerate(vocabulary) if kind == "normal" and p]
         self.automaton = ahocorasick.Automaton()
         for i, p, s in normal:
@@ -63,8 +70,14 @@ class Codec:
         self.no_piece = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in used)
         self.apart = not any(MARK in p.lstrip(MARK) or " " in p for _, p, _ in normal)
         self.lines = self.apart and "\n" not in used
+        scores = [s for _, _, s in normal]
+        self.merges = len(set(scores)) > 1 and all(s == int(s) for s in scores) if merges is None else merges
+        self.pieces, self.score, self.memory = [p for p, _, _ in vocabulary], {p: s for _, p, s in normal}, memory
+        self.links: dict[str, dict[int, bool]] = {}
+        self.held = 0
+        path = self.merge_path if self.merges else self.viterbi
         self.text = [bytes([int(p[1:-1], 16)]) if kind == "byte" else p.replace(MARK, " ").encode() if kind == "normal" else b"" for p, _, kind in vocabulary]
-        self.spaced, self.bare = _Memo(self.viterbi, " ", memory), _Memo(self.viterbi, "", memory // 4)
+        self.spaced, self.bare = _Memo(path, " ", memory), _Memo(path, "", memory // 4)
         self.line = np.array([self.bytes[10]], np.int32).tobytes()
 
     def viterbi(self, run: str) -> list[int]:
@@ -95,11 +108,65 @@ class Codec:
             at -= length
         return out[::-1]
 
+    def merged(self, shown: str) -> list[str]:
+        """The strings that are left of a short text when the best merge, of equal ones the first, is done until none is."""
+        parts, get, none = list(shown), self.score.get, float("-inf")
+        scores = [get(x + y, none) for x, y in itertools.pairwise(parts)]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], none)
+        return parts
+
+    def linked(self, before: str, i: int) -> bool:
+        """Whether merging keeps piece i apart from the string before it ("": at the start), and both whole."""
+        if self.held >= self.memory:
+            self.links.clear()
+            self.held = 0
+        piece = self.pieces[i]
+        found = self.merged(before + piece) == ([before, piece] if before else [piece])
+        self.links.setdefault(before, {})[i] = found
+        self.held += 1
+        return found
+
+    def merge_path(self, run: str) -> list[int]:
+        """The ids of the pieces that merging makes of a run, by the one path of links at each position."""
+        shown = run.replace(MARK, self.no_piece).replace(" ", MARK)
+        n, links, pieces = len(shown), self.links, self.pieces
+        last, back, done, none = [""] + [None] * n, [-1] * (n + 1), 0, {}
+        for end, (i, length, _) in self.automaton.iter(shown):
+            end += 1
+            while done < end - 1:  # nothing more ends at done + 1
+                done += 1
+                if last[done] is None:
+                    last[done] = shown[done - 1]
+            if last[end] is None:
+                before = last[end - length]
+                found = links.get(before, none).get(i)
+                if found or found is None and self.linked(before, i):
+                    last[end], back[end] = pieces[i], i
+        while done < n:
+            done += 1
+            if last[done] is None:
+                last[done] = shown[done - 1]
+        out, at = [], n
+        while at:
+            if back[at] < 0:
+                out += [self.bytes[b] for b in reversed(run[at - 1].encode())]
+            else:
+                out.append(back[at])
+            at -= len(last[at])
+        return out[::-1]
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         if not self.apart:
-            return np.array(self.viterbi(" " + text), np.int32)
+            return np.array((self.merge_path if self.merges else self.viterbi)(" " + text), np.int32)
         parts: list[bytes] = []
         for i, line in enumerate(text.split("\n") if self.lines else [text]):
             if i:

@@ -325,7 +325,7 @@ def test_classifier_rejects_low_quality(spark, odd):
 
 def test_pieces_match_brute_force_and_round_trip(spark, odd):
     vocabulary = pieces.read_vocabulary(MODEL)
-    codec, score = pieces.Codec(vocabulary), {p: s for p, s, kind in vocabulary if kind == "normal"}
+    codec, score = pieces.Codec(vocabulary, merges=False), {p: s for p, s, kind in vocabulary if kind == "normal"}
     pick = random.Random(1)
     for n in range(300):
         text = "".join(pick.choice("ab the  \n▁é日.") for _ in range(n % 50))
@@ -344,6 +344,25 @@ def test_pieces_match_brute_force_and_round_trip(spark, odd):
     assert pieces.encoded(odd.limit(0), vocabulary).count() == 0
 
 
+def test_pieces_are_those_of_the_library(spark):
+    """With ranks of merges the ids are the public library's, on texts without the mark that it takes for a space."""
+    import sentencepiece
+
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Codec(pieces.read_vocabulary(MODEL))
+    assert codec.merges
+    pick = random.Random(2)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text is not None]
+    texts += ["".join(pick.choice("aabbcdeilnoorst   \n.,0019éß你好") for _ in range(n % 200)) for n in range(1000)]
+    texts += ["a" * 5000, " " * 100, "ab" * 3000 + "  the", "\n \n"]
+    assert [codec.encode(t).tolist() for t in texts] == library.encode(texts)
+    # A piece that merging does not reach is never used; links are forgotten at the bound without another result.
+    small = pieces.Codec([*((f"<0x{b:02X}>", 0.0, "byte") for b in range(256)), ("a", -5.0, "normal"), ("b", -6.0, "normal"), ("c", -7.0, "normal"), ("ab", -1.0, "normal"), ("bc", -2.0, "normal"), ("abc", -3.0, "normal"), ("cab", -4.0, "normal"), ("ca", -9.0, "normal")], memory=2)
+    for n in range(200):
+        text = "".join(pick.choice("abcd") for _ in range(n % 12))
+        parts = small.merged(text)
+        assert [small.pieces[i] for i in small.merge_path(text)] == [x if x in small.score else f"<0x{ord(x):02X}>" for x in parts]
+
+
 def test_paragraphs(spark, odd):
     shared, other = prose(1, 60), prose(2, 60)
     near = " ".join(["changed", *shared.split()[1:]])
