@@ -1,3 +1,5 @@
+import dataclasses
+import json
 import random
 
 import pytest
@@ -8,6 +10,7 @@ from chunklens.operators import segments, sortedindex
 from chunklens.plans import similarity
 from chunklens.plans.simulate import FIELDS, BlockRun, ContainerRun, Lru, merge_rounds, run, trace_groups
 from chunklens.sources import formats, sinks
+from chunklens.sources.config import read_config
 from chunklens.sources.trace import data_set, host, trace_files
 from chunklens.streaming.first_seen import GenerationSink, first_seen
 
@@ -287,6 +290,29 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).count() == 2
 
 
+def test_nested_results(spark, tmp_path):
+    read = lambda: json.loads((tmp_path / "r.json").read_text())
+    similarity = spark.createDataFrame([(0, 0.5)], "generation int, ratio double")
+    streams = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (1, "a", 3)], "generation int, stream string, n int")
+    total = spark.createDataFrame([(0, "total", 3), (1, "total", 3)], "generation int, stream string, n int")
+    sinks.analysis_json(similarity, streams, total, str(tmp_path / "r.json"))
+    assert read() == {"generation 0": {"similarity": {"ratio": 0.5}, "streams": {"a": {"n": 1}, "b": {"n": 2}}, "total": {"n": 3}}, "generation 1": {"similarity": {}, "streams": {"a": {"n": 3}}, "total": {"n": 3}}}
+    usage = spark.createDataFrame([(1, "a", 4), (1, "total", 4)], "clients int, stream string, pages int")
+    sinks.page_usage_json(usage, str(tmp_path / "r.json"), start=spark.createDataFrame([(9,)], "pages int"))
+    assert read() == {"0": {"total": {"pages": 9}}, "1": {"a": {"pages": 4}, "total": {"pages": 4}}}
+    sinks.page_usage_json(usage.limit(0), str(tmp_path / "r.json"))
+    assert read() == {}
+
+
+def test_config(spark, tmp_path):
+    kind = dataclasses.make_dataclass("Config", [("data_set", str), ("segment_size", int, 7), ("sample", int, 5)])
+    write = lambda text: (tmp_path / "c.json").write_text(text) and str(tmp_path / "c.json")
+    assert read_config(spark, write('{"DataSet": "x",\n "SegmentSize": 3, "Sample": null, "Other": 1}'), kind) == kind("x", 3, 5)
+    for text, error in (("[1]", ValueError), ('{"DataSet": "x", "data_set": "y"}', ValueError), ("{}", TypeError)):
+        with pytest.raises(error):
+            read_config(spark, write(text), kind)
+
+
 def test_stream_of_generations(spark, tmp_path):
     pick = random.Random(6)
     rows = [(g, s, f"{pick.randrange(50):024x}", 1) for g in range(3) for s in "ab" for _ in range(30)]
