@@ -278,7 +278,6 @@ def test_sinks(spark, tmp_path):
     stats = spark.createDataFrame([(0, "a", 3, 0.1), (0, "total", 3, 0.1)], "generation int, stream string, n int, r double")
     sinks.results_json(stats, str(tmp_path / "r.json"))
     sinks.list_json(stats, str(tmp_path / "l.json"))
-    import json
 
     assert json.loads((tmp_path / "r.json").read_text()) == {"generation 0": {"a": {"n": 3, "r": 0.1}, "total": {"n": 3, "r": 0.1}}}
     assert len(json.loads((tmp_path / "l.json").read_text())) == 2
