@@ -207,30 +207,8 @@ def w9_finish_rounds(spark, d):
 
 
 def w10_lru_hits(spark, d):
-    """Hits of an LRU cache of LRU chunks in each stream: a repeat with fewer than LRU distinct fps since.
-
-    A gap of LRU positions or less is a sure hit; of the others, the chunks whose own next use is behind the gap's end
-    are the distinct ones, counted for the open gaps only.
-    """
-    w = Window.partitionBy("stream").orderBy("generation", "file_seq", "chunk_seq")
-    t = backup_trace(spark, d).withColumn("pos", F.row_number().over(w))
-    own = Window.partitionBy("stream", "fp").orderBy("pos")
-    t = t.select("stream", "fp", "pos", F.lag("pos").over(own).alias("prev"))
-    # Distinct fps in (prev, pos): rows there whose own previous use is at prev or before.
-    recent = Window.partitionBy("stream").orderBy("pos").rowsBetween(-4 * LRU, -1)
-    near = t.withColumn("behind", F.collect_list(F.struct("pos", F.coalesce("prev", F.lit(0)).alias("prev"))).over(recent))
-    distinct = F.size(F.filter("behind", lambda x: (x["pos"] > F.col("prev")) & (x["prev"] <= F.col("prev"))))
-    hit = F.col("prev").isNotNull() & ((F.col("pos") - F.col("prev") <= LRU) | (distinct < LRU) & (F.col("pos") - F.col("prev") <= 4 * LRU))
-    done = near.select("stream", "fp", "pos", "prev", hit.alias("hit"))
-    # Longer gaps, few: those with few distinct fps in their last part are counted whole.
-    far = done.where((F.col("pos") - F.col("prev") > 4 * LRU)).select("stream", "pos", "prev")
-
-    def few(gaps, since):
-        cells = gaps.select("stream", "pos", "prev", F.explode(F.sequence(since, F.col("pos") - 1)).alias("q")).join(t.select("stream", F.col("pos").alias("q"), "fp"), ["stream", "q"])
-        return cells.groupBy("stream", "pos", "prev").agg(F.count_distinct("fp").alias("n")).where(F.col("n") < LRU).drop("n")
-
-    late = few(few(far, F.col("pos") - 4 * LRU), F.col("prev") + 1).select("stream", "pos", F.lit(True).alias("late"))
-    return done.join(late, ["stream", "pos"], "left").groupBy("stream").agg(F.count("*").alias("chunks"), F.sum((F.col("hit") | F.coalesce("late", F.lit(False))).cast("int")).cast("bigint").alias("hits"))
+    """Hits of an LRU cache of LRU chunks in each stream: a repeat with fewer than LRU distinct fps since."""
+    return simulate.lru_hits(backup_trace(spark, d), LRU)
 
 
 def o2_sorted_pages(spark, d):
